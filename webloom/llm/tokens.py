@@ -103,6 +103,14 @@ def _words(raw: np.ndarray, bounds: np.ndarray, rows: slice, lower: bool, separa
     return Words(rows, raw, bounds, start, length, hashes, np.searchsorted(start, bounds).astype(np.int64))
 
 
+def starts_of(w: Words, chosen: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the first ``size`` bytes of the chosen words, which must be that long."""
+    start, total = w.start[chosen], U64(size << 32)
+    for k in range(size):
+        total = total + _TABLE[(k << 8) | w.raw[start + k].astype(np.int64)]
+    return mix(total) if len(start) else np.zeros(0, U64)
+
+
 def runs_of(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """A hash for each ``size`` consecutive words: element i covers words i to i + size - 1."""
     n = len(hashes) - size + 1

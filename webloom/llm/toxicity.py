@@ -1,8 +1,8 @@
 """Toxicity as logistic regression over hashed word n-grams and skip-grams, trained by FTRL-proximal.
 
-Features of a text are its distinct words, beginnings of words, pairs of
-neighbours and pairs with one word between, lower-cased and hashed to ``2 **
-BITS`` coordinates. FTRL-proximal has a learning rate for each coordinate and an
+Features of a text are its distinct words and their stems (beginnings of
+``STEMS`` bytes), pairs of neighbours and pairs with one word between,
+lower-cased and hashed to ``2 ** BITS`` coordinates. FTRL-proximal has a learning rate for each coordinate and an
 L1 term that leaves most weights exactly zero; only the others are broadcast
 (at most 2 ** BITS, in practice some thousands).
 
@@ -25,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fold
-from .tokens import LETTERS_ONLY, U64, Words, mix, words
+from .tokens import LETTERS_ONLY, U64, Words, mix, starts_of, words
 
 BITS = 20
 SAMPLE = 20_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.2, 0.5
+EPOCHS = 4
+#: Beginnings of words, in bytes, that count as their stems: forms of a word that training did not show are known by them.
+STEMS = (4, 5, 6)
+ALPHA, BETA, L1, L2 = 0.15, 1.0, 3.0, 0.5
+#: How much a toxic training row counts, as they are few.
+POSITIVE = 2.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 _BIAS = 0
@@ -44,6 +48,9 @@ def coordinates(w: Words) -> tuple[np.ndarray, np.ndarray]:
     for gap in (1, 2):
         same = row[gap:] == row[:-gap]
         parts.append((row[gap:][same], mix(h[:-gap] * U64(3) + mix(h[gap:] + U64(gap)))[same]))
+    for size in STEMS:
+        longer = w.length > size
+        parts.append((row[longer], starts_of(w, longer, size)))
     return np.concatenate([r for r, _ in parts]), (np.concatenate([x for _, x in parts]) >> U64(64 - BITS)).astype(np.int64)
 
 
@@ -75,7 +82,7 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.
         for x, y in rows:
             i = np.concatenate([[_BIAS], x[x != _BIAS]])
             w = weight(i)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35.0, 35.0))) - y
+            g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35.0, 35.0))) - y) * (POSITIVE if y else 1.0)
             grown = n[i] + g * g
             z[i] += g - (np.sqrt(grown) - np.sqrt(n[i])) / ALPHA * w
             n[i] = grown
