@@ -371,7 +371,7 @@ WITH RECURSIVE w AS (
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]) END) AS g
+    ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]) END) AS g
   FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), f AS (SELECT g, count(*) AS f FROM s GROUP BY g

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, pii, quality, toxicity, urls
+from . import bpe, jaccard, media, mixing, pii, quality, toxicity, urls
 from .common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op5_toxicity, op6_quality, op7_bpe, op8_url_filter, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op4_pii, op5_toxicity, op6_quality, op7_bpe, op8_url_filter, op9_mixing, op10_media)}
 
-ORACLES = {"op8_url_filter": urls.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op1_jaccard_join": jaccard.ORACLE, "op8_url_filter": urls.ORACLE, "op9_mixing": mixing.ORACLE}
