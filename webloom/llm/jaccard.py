@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .blocks import block_bits, id_filter, pack, passing, place, unpack
+from .common import quoted, stored
 from .components import components
 from .tokens import U64, shingle_sets, words
 
@@ -47,13 +48,6 @@ HOT_MOST = 1 << 20
 PIVOTS = 4
 #: Columns that are handled at once, per task.
 BUFFER = 1 << 20
-DOCS_PER_BLOCK = 1000
-FILTER_BITS = 1 << 23
-
-
-def block_bits(n_docs: int) -> int:
-    """So many blocks that one of them holds the columns of about DOCS_PER_BLOCK documents."""
-    return min(20, max(8, int(np.ceil(np.log2(max(1, n_docs) / DOCS_PER_BLOCK)))))
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -97,7 +91,7 @@ def _column_counts(docs: DataFrame, bits: int) -> DataFrame:
             yield from flush(parts)
 
     def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        ones, many, counts = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32) for c in ("ones", "many", "counts"))
+        ones, many, counts = (unpack(t, c, np.uint32) for c in ("ones", "many", "counts"))
         low, n = np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), counts.astype(np.int64)])
         order = np.argsort(low, kind="stable")
         low, n = low[order], n[order]
@@ -183,13 +177,8 @@ def _cold_pairs(kept: DataFrame) -> DataFrame:
     def flush(ids, ns, hs, parts) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         fp = np.concatenate(parts)
-        order = np.argsort(fp, kind="stable")
-        row, fp = row[order], fp[order]
-        block = (fp >> U64(32)).astype(np.int64)
-        at = np.flatnonzero(np.diff(block, prepend=-1))
-        cut = np.append(at, len(block))
-        cols = ((fp & U64(0xFFFFFFFF)).astype(np.uint32), np.array(ids, np.int64)[row], np.array(ns, np.int32)[row], np.array(hs, np.int32)[row])
-        yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int32()), *(pa.array([c[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for c in cols)], names=["block", "low", "ids", "ns", "hs"])
+        cols = {"low": (fp & U64(0xFFFFFFFF)).astype(np.uint32), "ids": np.array(ids, np.int64)[row], "ns": np.array(ns, np.int32)[row], "hs": np.array(hs, np.int32)[row]}
+        yield pack((fp >> U64(32)).astype(np.int64), cols)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ns, hs, parts, held = [], [], [], [], 0
@@ -208,7 +197,7 @@ def _cold_pairs(kept: DataFrame) -> DataFrame:
             yield from flush(ids, ns, hs, parts)
 
     def multiply(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        low, ids, ns, hs = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("low", np.uint32), ("ids", np.int64), ("ns", np.int32), ("hs", np.int32)))
+        low, ids, ns, hs = (unpack(t, c, k) for c, k in (("low", np.uint32), ("ids", np.int64), ("ns", np.int32), ("hs", np.int32)))
         order = np.argsort(low, kind="stable")
         low = low[order]
         # Only columns that two rows share make a product.
@@ -289,19 +278,12 @@ def _crossing_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar enough. pairs: stored."""
-    place = F.pmod(F.xxhash64("i"), F.lit(FILTER_BITS))
     ids = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i")))
-    words_ = ids.groupBy(F.floor(place / 32768).alias("k")).agg(F.bitmap_construct_agg(place % 32768).alias("m")).collect()
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)  # 1 MB, whatever the number of pairs: a filter that lets some other ids pass
-    for r in words_:
-        bitmap[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "i"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for b in batches:
-            at = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).cast(pa.bool_()))
+            b = b.filter(passing(shared.value, b.column(2)))
             if b.num_rows:
                 sets = [s.tobytes() for part in _sets(b.column(1)) for s in part]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
@@ -318,7 +300,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * shared_ >= 75 * (len(x) + len(y) - shared_))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("i"), "text").select("i", "text", place.cast("bigint").alias("at"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("i"), "text").select("i", "text", place(F.col("i")).alias("at"))
     sets = rows.mapInArrow(gather, "id bigint, s binary")
     x, y = sets.toDF("ia", "sa"), sets.toDF("ib", "sb")
     both = pairs.join(x, F.col("a") == F.col("ia")).join(y, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
@@ -357,7 +339,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     found = stored(join(docs))
     gone = found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(quoted(c)) for c in docs.columns))
     repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return left
