@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, mixing, pii, quality, substring, toxicity, urls
+from . import bpe, jaccard, media, mixing, neardup, pii, quality, substring, toxicity, urls
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_substring_dedup, op4_pii, op5_toxicity, op6_quality, op7_bpe, op8_url_filter, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_near_duplicates, op3_substring_dedup, op4_pii, op5_toxicity, op6_quality, op7_bpe, op8_url_filter, op9_mixing, op10_media)}
 
-ORACLES = {"op1_jaccard_join": jaccard.ORACLE, "op3_substring_dedup": substring.ORACLE, "op8_url_filter": urls.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op1_jaccard_join": jaccard.ORACLE, "op2_near_duplicates": neardup.ORACLE, "op3_substring_dedup": substring.ORACLE, "op8_url_filter": urls.ORACLE, "op9_mixing": mixing.ORACLE}
