@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import free, plus
+
 MEMO_PIECES = 250_000
 MEMO_LENGTH = 40
 MEMO_PAIRS = 500_000
@@ -166,9 +168,7 @@ def _shared(spark: SparkSession, path: str | None, pattern: str | None):
 
 def encoded(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` with the text's token ids, and the text replaced by what they decode to."""
-    shared, name = _shared(docs.sparkSession, path, pattern), ids
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
+    shared, name = _shared(docs.sparkSession, path, pattern), free(docs, ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(*shared.value)
@@ -182,14 +182,12 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: s
             cols = [pa.array(back, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(tokens, pa.list_(pa.int32()))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(work, docs.schema.add(name, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(work, plus(docs.schema, **{name: T.ArrayType(T.IntegerType())}))
 
 
 def decoded(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``df`` with the bytes that its token ids stand for, as a binary column."""
-    shared, name = _shared(df.sparkSession, path, pattern), text
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
+    shared, name = _shared(df.sparkSession, path, pattern), free(df, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(*shared.value)
@@ -197,7 +195,7 @@ def decoded(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path:
             got = [e.decode(x or ()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(work, df.schema.add(name, "binary"))
+    return df.mapInArrow(work, plus(df.schema, **{name: T.BinaryType()}))
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +52,8 @@ def free(df: DataFrame, name: str) -> str:
 
 def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
+
+
+def plus(schema: T.StructType, **columns: T.DataType) -> T.StructType:
+    """A schema with further columns (``StructType.add`` would change the one it is called on)."""
+    return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in columns.items())])

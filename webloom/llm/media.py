@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import free, plus
+
 UNIT = 192
 FRAME = 240
 SAMPLES = 1152
@@ -235,13 +237,8 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
             offsets = [parse(x).offsets.tolist() for x in streams]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(streams, pa.binary()), pa.array(offsets, pa.list_(pa.int64()))], names=[*b.schema.names, *names])
 
-    taken, names = {c.lower() for c in docs.columns}, []
-    for name in (media, f"{media}_offsets"):
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        names.append(name)
-    return docs.mapInArrow(work, docs.schema.add(names[0], "binary").add(names[1], T.ArrayType(T.LongType())))
+    names = [free(docs, media), free(docs, f"{media}_offsets")]
+    return docs.mapInArrow(work, plus(docs.schema, **{names[0]: T.BinaryType(), names[1]: T.ArrayType(T.LongType())}))
 
 
 def digest(docs: DataFrame) -> DataFrame:
