@@ -15,10 +15,14 @@ intersection >= 75 x union. Steps:
    its count plus all that the parts not kept could add reaches
    ceil(3/7 (n + m)).
 5. Hot columns would give a pair for every two of thousands of near copies.
-   Their rows are first compared with a few pivots per column. After the
-   components of the links found so far are known, rows of a hot column that lie
-   in different components are compared with one another; rows in the same
-   component need not be. So no link between components is lost.
+   Their rows are first compared with a pivot per column, the row with the
+   fewest cold columns, which is the least changed copy. After the components of
+   the links found so far are known, rows of a hot column that lie in different
+   components are compared with one another; rows in the same component need not
+   be. So no link between components is lost. Pairs that share a cold column are
+   in the product of step 4 already; for the others, the first column they share
+   is hot, and at its ranks in both rows enough columns must be left for the
+   overlap that their sizes ask for. Where this fails a pair is not formed.
 6. Pairs that are left are verified on the whole sets.
 
 Null and empty texts and texts without words have an empty set and link with
@@ -45,7 +49,6 @@ from .tokens import U64, shingle_sets, words
 SIZE = 5
 HOT_LEAST = 20
 HOT_MOST = 1 << 20
-PIVOTS = 4
 #: Columns that are handled at once, per task.
 BUFFER = 1 << 20
 
@@ -230,49 +233,56 @@ def _cold_pairs(kept: DataFrame) -> DataFrame:
     parts = dealt.groupBy("block").applyInArrow(multiply, "a bigint, b bigint, na int, nb int, ha int, hb int, c bigint")
     sums = parts.groupBy("a", "b", "na", "nb", "ha", "hb").agg(F.sum("c").alias("c"))
     rest = F.greatest(*(F.floor((3 * F.col(n) + 3) / 4) - 1 for n in ("na", "nb")))
-    needed = F.ceil(3 * (F.col("na") + F.col("nb")) / 7)
-    return sums.where(F.col("c") + F.least("ha", "hb") + rest >= needed).select("a", "b")
+    return sums.where(F.col("c") + F.least("ha", "hb") + rest >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _hot_rows(kept: DataFrame) -> DataFrame:
-    """(column, id, n) of kept hot columns."""
+    """(fp, id, n, cold, left): kept hot columns, with the row's size, its cold columns and how many columns follow in its order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-            size = [len(p) for p in parts]
-            fp = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(b.column(1).to_numpy(), size))], names=["fp", "id", "n"])
+            parts = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+            ids, n, cold = (b.column(i).to_numpy() for i in range(3))
+            size = np.array([len(p) for p in parts], np.int64)
+            rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            cols = {"fp": np.concatenate(parts), "id": np.repeat(ids, size), "n": np.repeat(n, size), "cold": np.repeat(cold, size)}
+            cols["left"] = cols["n"] - cols["cold"] - rank - 1
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in cols.items()})
 
-    return kept.where(F.octet_length("hot") > 0).select("id", "n", "hot").mapInArrow(work, "fp bigint, id bigint, n bigint")
-
-
-def _fits(n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= 75 * F.greatest(n, m)
+    rows = kept.where(F.octet_length("hot") > 0).select("id", "n", (F.octet_length("cold") / 8).cast("bigint").alias("cold"), "hot")
+    return rows.mapInArrow(work, "fp bigint, id bigint, n bigint, cold bigint, left bigint")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _needed(n: Column, m: Column) -> Column:
+    """The overlap at which two sizes are similar enough."""
+    return F.ceil(3 * (n + m) / 7)
+
+
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each row of a hot column with one pivot. Columns that the same documents share elect the same few pivots."""
-    rank = F.xxhash64("id", F.col("fp") % PIVOTS)
-    pivots = rows.groupBy("fp").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("p"), F.col("n").alias("m"))).alias("p"))
+    """Each row of a hot column with that of its rows that has the smallest share of cold columns."""
+    rank = F.floor(F.col("cold") * 1000 / F.col("n"))
+    pivots = rows.groupBy("fp").agg(F.min(F.struct(rank.alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("p"), F.col("n").alias("m"))).alias("p"))
     pivots = pivots.select(F.col("fp").alias("f"), "p.p", "p.m")
-    met = rows.join(pivots, F.col("fp") == F.col("f")).where((F.col("id") != F.col("p")) & _fits(F.col("n"), F.col("m")))
+    fits = 100 * F.least("n", "m") >= 75 * F.greatest("n", "m")
+    met = rows.join(pivots, F.col("fp") == F.col("f")).where((F.col("id") != F.col("p")) & fits & (F.col("n") - F.col("cold") >= _needed(F.col("n"), F.col("m"))))
     return met.select(*_ordered(F.col("id"), F.col("p"))).distinct()
 
 
 def _crossing_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of rows of a hot column in different components; found: (id, component_id)."""
+    """Pairs of rows of a hot column in different components that may be similar; found: (id, component_id)."""
     found = found.select(F.col("id").alias("i"), "component_id")
-    known = rows.join(found, F.col("id") == F.col("i"), "left").select("fp", "id", "n", F.coalesce("component_id", "id").alias("comp"))
+    known = rows.join(found, F.col("id") == F.col("i"), "left").select("fp", "id", "n", "left", F.coalesce("component_id", "id").alias("comp"))
     sizes = known.groupBy("fp", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("fp").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("fp").alias("f"), F.col("m.comp").alias("main"))
-    split = known.join(main, F.col("fp") == F.col("f")).select("fp", "id", "n", "comp", "main")
-    away = split.where("comp <> main").select(F.col("fp").alias("f"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("comp").alias("q"))
-    met = split.join(away, F.col("fp") == F.col("f")).where((F.col("comp") != F.col("q")) & _fits(F.col("n"), F.col("m")))
+    split = known.join(main, F.col("fp") == F.col("f")).select("fp", "id", "n", "left", "comp", "main")
+    away = split.where("comp <> main").select(F.col("fp").alias("f"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("left").alias("l"), F.col("comp").alias("q"))
+    enough = F.least("left", "l") + 1 >= _needed(F.col("n"), F.col("m"))
+    once = (F.col("q") == F.col("main")) | (F.col("comp") == F.col("main")) | (F.col("id") < F.col("p"))
+    met = split.join(away, (F.col("fp") == F.col("f")) & (F.col("comp") != F.col("q")) & enough & once)
     return met.select(*_ordered(F.col("id"), F.col("p"))).distinct()
 
 
