@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,9 @@ from pyspark.sql import types as T
 
 from .common import free, plus
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 150_000
+#: Rows go out when their ids take so many bytes.
+OUT_BYTES = 8 << 20
 MEMO_LENGTH = 40
 MEMO_PAIRS = 500_000
 
@@ -49,7 +53,7 @@ class Encoder:
         self.shorter = {r: next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank), -1) for r, t in self.token.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
 
     def undo(self, r: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes token r; None for a single byte."""
@@ -132,17 +136,17 @@ class Encoder:
         token = self.token
         return "".join([token[i] for i in ids]).encode("latin-1")
 
-    def _entry(self, p: str) -> tuple[str, int, bytes]:
+    def _entry(self, p: str) -> tuple[str, int, bytes, bytes]:
         ids = self.piece(p.encode().decode("latin-1"))
-        entry = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        entry = (" ".join(map(str, ids)), len(ids), self.decode(ids), array("i", ids).tobytes())
         if len(p) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_PIECES:
                 self.memo.clear()
             self.memo[p] = entry
         return entry
 
-    def entries(self, text: str) -> list[tuple[str, int, bytes]]:
-        """(ids joined by a space, their number, their bytes) of each piece."""
+    def entries(self, text: str) -> list[tuple[str, int, bytes, bytes]]:
+        """(ids joined by a space, their number, their bytes, ids as packed 32-bit numbers) of each piece."""
         known, new = self.memo.get, self._entry
         return [known(p) or new(p) for p in self.pieces(text)]
 
@@ -172,15 +176,23 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(*shared.value)
-        for b in batches:
-            at = b.schema.get_field_index(text)
-            tokens, back = [], []
-            for t in b.column(at):
-                got = e.entries(t.as_py() or "")
-                tokens.append([int(i) for x in got for i in x[0].split(" ")])
-                back.append(b"".join([x[2] for x in got]).decode() if t.is_valid else None)
-            cols = [pa.array(back, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(tokens, pa.list_(pa.int32()))], names=[*b.schema.names, name])
+        for whole in batches:
+            at, begin = whole.schema.get_field_index(text), 0
+            while begin < whole.num_rows:
+                ids_, back, size, rows = [], [], 0, 0
+                while begin + rows < whole.num_rows and size < OUT_BYTES:
+                    t = whole.column(at)[begin + rows]
+                    got = e.entries(t.as_py() or "")
+                    ids_.append(b"".join([x[3] for x in got]))
+                    back.append(b"".join([x[2] for x in got]).decode() if t.is_valid else None)
+                    size += len(ids_[-1])
+                    rows += 1
+                b = whole.slice(begin, rows)
+                begin += rows
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids_)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids_), np.int32)))
+                cols = [pa.array(back, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
+                yield pa.RecordBatch.from_arrays([*cols, tokens], names=[*b.schema.names, name])
 
     return docs.mapInArrow(work, plus(docs.schema, **{name: T.ArrayType(T.IntegerType())}))
 
