@@ -139,6 +139,38 @@ def test_sinks_and_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first().url == "https://a.test/"
 
 
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def name(**parts):
+    oids = {"CN": b"\x55\x04\x03", "O": b"\x55\x04\x0a"}
+    return der(0x30, *(der(0x31, der(0x30, der(6, oids[k]), der(12, v.encode()))) for k, v in parts.items()))
+
+
+def test_certificates_and_streamed_results(spark, tmp_path):
+    alt = der(0x30, der(0x82, b"a.test"), der(0x87, bytes([10, 0, 0, 1])))
+    extensions = der(0xA3, der(0x30, der(0x30, der(6, b"\x55\x1d\x11"), der(4, alt))))
+    times = der(0x30, der(23, b"240131120000Z"), der(24, b"20510131120000Z"))
+    inner = der(0x30, der(0xA0, der(2, b"\2")), der(2, b"\1"), der(0x30), name(CN="root", O="Org"), times, name(CN="a.test"), der(0x30), extensions)
+    cert = der(0x30, inner, der(0x30), der(3, b"\0"))
+    certs = spark.createDataFrame([("a.test", 443, bytearray(cert)), ("b.test", 443, bytearray(b"no"))], "host string, port int, der binary")
+    pages = spark.createDataFrame([("https://A.test/x",), ("http://a.test/",), ("https://b.test/",)], "url string")
+    out = {r.url: r.tls_data for r in sinks.with_certificates(pages, certs).collect()}
+    t = out["https://A.test/x"]
+    assert (t.subject_cn, t.issuer_dn, t.issuer_org, t.subject_an) == ("a.test", "CN=root, O=Org", ["Org"], ["a.test", "10.0.0.1"])
+    assert (t.not_before, t.not_after) == ("2024-01-31 12:00:00 UTC", "2051-01-31 12:00:00 UTC") and len(t.fingerprint_sha256) == 95
+    assert out["http://a.test/"] is None and out["https://b.test/"] is None
+    df, seen = sinks.counted(pages)
+    df.write.parquet(str(tmp_path / "p"))
+    assert seen.get["n"] == 3
+    stream = spark.readStream.schema(pages.schema).parquet(str(tmp_path / "p"))
+    sinks.stream_results(stream, str(tmp_path / "r"), str(tmp_path / "c")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "r")).count() == 3
+
+
 def test_sql_registration(spark):
     from webloom.sql import register
 

@@ -8,8 +8,6 @@ values seen before a position is promoted stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,14 +74,3 @@ def exact_mode(df: DataFrame, url: str = "url", seq: str = "seq", threshold: int
 
     rows = df.select(F.col(seq).cast("bigint").alias("seq"), urls.host(F.col(url)).alias("host"), urls.segments(F.col(url)).alias("segments"))
     return rows.groupBy("host").applyInPandas(work, "seq bigint, host string, segments array<string>")
-
-
-def replay(threshold: int = THRESHOLD):
-    """For streams: the same walk, batch after batch, on a trie kept in state (see streaming.state)."""
-    t = Trie(threshold)
-
-    def step(batch: Iterator[list[str]]) -> Iterator[list[str]]:
-        for s in batch:
-            yield t.walk(s)
-
-    return step

@@ -99,3 +99,30 @@ def save_checkpoint(visited: DataFrame, pending: DataFrame, folder: str) -> None
 
 def load_checkpoint(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/visited"), spark.read.parquet(f"{folder}/pending")
+
+
+def counted(df: DataFrame, name: str = "emitted"):
+    """``df`` and an observation that holds the number of its rows once it has been written."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def stream_results(stream: DataFrame, path: str, checkpoint: str):
+    """Writes a stream of results as JSON lines, batch by batch; a batch that is repeated after a fault replaces its own files."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(json_line(batch).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def with_certificates(responses: DataFrame, certificates: DataFrame) -> DataFrame:
+    """Responses with what a table of certificates (host, port, der) says of their host and port."""
+    from ..functions import urls
+    from ..functions.x509 import certificate
+
+    port = F.coalesce(F.nullif(urls.port(F.col("url")), F.lit("")), F.when(urls.scheme(F.col("url")) == "https", "443").otherwise("80"))
+    at = certificates.select(F.col("host").alias("__h"), F.col("port").cast("string").alias("__p"), certificate(F.col("der")).alias("tls_data"))
+    return responses.join(at, (urls.host(F.col("url")) == F.col("__h")) & (port == F.col("__p")), "left").drop("__h", "__p")
