@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import free, plus
+from .common import free, plus, tidy
 
 MEMO_PIECES = 150_000
 #: Rows go out when their ids take so many bytes.
@@ -151,6 +151,20 @@ class Encoder:
         return [known(p) or new(p) for p in self.pieces(text)]
 
 
+def _with_encoder(shared, work: Callable[[Encoder, Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` with this worker's encoder, whose memos go when the task ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        e = _encoder(*shared.value)
+        try:
+            yield from work(e, batches)
+        finally:
+            e.memo.clear()
+            e.compatible.clear()
+
+    return run
+
+
 @cache
 def _encoder(raw: bytes, pattern: str) -> Encoder:
     return Encoder(raw.splitlines(), pattern)
@@ -174,8 +188,7 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: s
     """``docs`` with the text's token ids, and the text replaced by what they decode to."""
     shared, name = _shared(docs.sparkSession, path, pattern), free(docs, ids)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(*shared.value)
+    def work(e: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at, begin = whole.schema.get_field_index(text), 0
             while begin < whole.num_rows:
@@ -194,28 +207,27 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: s
                 cols = [pa.array(back, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
                 yield pa.RecordBatch.from_arrays([*cols, tokens], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(work, plus(docs.schema, **{name: T.ArrayType(T.IntegerType())}))
+    return docs.mapInArrow(tidy(_with_encoder(shared, work)), plus(docs.schema, **{name: T.ArrayType(T.IntegerType())}))
 
 
 def decoded(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``df`` with the bytes that its token ids stand for, as a binary column."""
     shared, name = _shared(df.sparkSession, path, pattern), free(df, text)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(*shared.value)
+    def work(e: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [e.decode(x or ()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(work, plus(df.schema, **{name: T.BinaryType()}))
+    return df.mapInArrow(tidy(_with_encoder(shared, work)), plus(df.schema, **{name: T.BinaryType()}))
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """For each document the number of its tokens and digests of their ids and of what they decode to."""
     shared = _shared(docs.sparkSession, path, pattern)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, sha = _encoder(*shared.value), hashlib.sha256
+    def work(e: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha256
         for b in batches:
             n, ids, back = [], [], []
             for t in b.column(1):
@@ -225,4 +237,4 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 back.append(sha(b"".join([x[2] for x in got])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_with_encoder(shared, work)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

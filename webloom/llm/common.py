@@ -3,16 +3,34 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Rows and bytes of an Arrow batch. Texts are long: larger batches only cost memory, in the JVM and in Python.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for this session where it has Spark's defaults."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
+        if int(spark.conf.get(key, str(usual)).removesuffix("b")) >= usual:
+            spark.conf.set(key, str(value))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by the path Spark was given (never opened by Python)."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,11 +56,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: its lineage ends there."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{checkpoint_dir(spark)}/webloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work``, giving freed memory back to the system when a task ends: idle Python workers stay alive beside the JVM."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, with underscores added while a column of ``df`` has it."""
     while name.lower() in {c.lower() for c in df.columns}:

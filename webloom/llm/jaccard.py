@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_bits, id_filter, pack, passing, place, unpack
-from .common import quoted, stored
+from .common import quoted, stored, tidy
 from .components import components
 from .tokens import U64, shingle_sets, words
 
@@ -50,7 +50,7 @@ SIZE = 5
 HOT_LEAST = 20
 HOT_MOST = 1 << 20
 #: Columns that are handled at once, per task.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def _column_counts(docs: DataFrame, bits: int) -> DataFrame:
         hot = total > HOT_LEAST
         return pa.table({"fp": pa.array((low[at][hot].astype(np.int64)) | (key[0].as_py() << 32), pa.int64()), "n": pa.array(total[hot], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "block int, ones binary, many binary, counts binary")
+    rows = docs.select("text").mapInArrow(tidy(count), "block int, ones binary, many binary, counts binary")
     return rows.groupBy("block").applyInArrow(add, "fp bigint, n bigint")
 
 
@@ -139,7 +139,7 @@ def described(docs: DataFrame) -> DataFrame:
             k = [np.frombuffer(x, np.int64).tolist() if x else (None, None) for x in keys]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in k], pa.int64()), pa.array([x[1] for x in k], pa.int64())], names=["doc_id", "n_shingles", "k1", "k2"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(work), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
 
 
 def _kept_columns(docs: DataFrame, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -170,7 +170,7 @@ def _kept_columns(docs: DataFrame, bits: int, hot: tuple[np.ndarray, np.ndarray]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["k1", "k2", "id", "n", "cold", "hot"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, "k1 bigint, k2 bigint, id bigint, n bigint, cold binary, hot binary")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(work), "k1 bigint, k2 bigint, id bigint, n bigint, cold binary, hot binary")
     return rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "cold", "hot")).alias("c")).select("c.*")
 
 
@@ -229,7 +229,7 @@ def _cold_pairs(kept: DataFrame) -> DataFrame:
 
     kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32(), "ha": pa.int32(), "hb": pa.int32(), "c": pa.int64()}
     empty = pa.table({k: pa.array([], v) for k, v in kinds.items()})
-    dealt = kept.select("id", "n", "cold", "hot").mapInArrow(deal, "block int, low binary, ids binary, ns binary, hs binary")
+    dealt = kept.select("id", "n", "cold", "hot").mapInArrow(tidy(deal), "block int, low binary, ids binary, ns binary, hs binary")
     parts = dealt.groupBy("block").applyInArrow(multiply, "a bigint, b bigint, na int, nb int, ha int, hb int, c bigint")
     sums = parts.groupBy("a", "b", "na", "nb", "ha", "hb").agg(F.sum("c").alias("c"))
     rest = F.greatest(*(F.floor((3 * F.col(n) + 3) / 4) - 1 for n in ("na", "nb")))
@@ -250,7 +250,7 @@ def _hot_rows(kept: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in cols.items()})
 
     rows = kept.where(F.octet_length("hot") > 0).select("id", "n", (F.octet_length("cold") / 8).cast("bigint").alias("cold"), "hot")
-    return rows.mapInArrow(work, "fp bigint, id bigint, n bigint, cold bigint, left bigint")
+    return rows.mapInArrow(tidy(work), "fp bigint, id bigint, n bigint, cold bigint, left bigint")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -311,10 +311,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("i"), "text").select("i", "text", place(F.col("i")).alias("at"))
-    sets = rows.mapInArrow(gather, "id bigint, s binary")
+    sets = rows.mapInArrow(tidy(gather), "id bigint, s binary")
     x, y = sets.toDF("ia", "sa"), sets.toDF("ib", "sb")
     both = pairs.join(x, F.col("a") == F.col("ia")).join(y, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
-    return both.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return both.mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
 
 
 def links(docs: DataFrame) -> DataFrame:

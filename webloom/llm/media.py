@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free, plus
+from .common import free, plus, tidy
 
 UNIT = 192
 FRAME = 240
@@ -238,7 +238,7 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(streams, pa.binary()), pa.array(offsets, pa.list_(pa.int64()))], names=[*b.schema.names, *names])
 
     names = [free(docs, media), free(docs, f"{media}_offsets")]
-    return docs.mapInArrow(work, plus(docs.schema, **{names[0]: T.BinaryType(), names[1]: T.ArrayType(T.LongType())}))
+    return docs.mapInArrow(tidy(work), plus(docs.schema, **{names[0]: T.BinaryType(), names[1]: T.ArrayType(T.LongType())}))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -258,4 +258,4 @@ def digest(docs: DataFrame) -> DataFrame:
 
     schema = _OUT.format(id=docs.schema["doc_id"].dataType.simpleString())
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .components import components
 
 THRESHOLD = 0.9
@@ -77,7 +77,7 @@ def _classes(rows: DataFrame) -> DataFrame:
             keys = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([len(r or b"") // 8 for r in raw], pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "key", "dim", "v"])
 
-    return rows.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(work, "vec_id bigint, key binary, dim int, v binary")
+    return rows.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(tidy(work), "vec_id bigint, key binary, dim int, v binary")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -118,7 +118,7 @@ def _assigned(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int) ->
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), part.column(0).take(take), cells.take(take), part.column(1).take(take), part.column(3).take(take)], names=["cell", "id", "cells", "n", "v"])
 
-    return reps.select("id", "n", "dim", "v").mapInArrow(work, "cell int, id bigint, cells binary, n bigint, v binary")
+    return reps.select("id", "n", "dim", "v").mapInArrow(tidy(work), "cell int, id bigint, cells binary, n bigint, v binary")
 
 
 def _sharded(assigned: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def audit(reps: DataFrame, found: DataFrame) -> float:
                 hit = (q @ _matrix(part.column(3)).T >= THRESHOLD) & (ids[:, None] != part.column(0).to_numpy()[None, :]) if part.num_rows else np.zeros((len(ids), 0), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((hit * (part.column(1).to_numpy() if part.num_rows else 0)).sum(axis=1).astype(np.int64), pa.int64())], names=["i", "t"])
 
-    true = {r["i"]: r["t"] for r in reps.select("id", "n", "dim", "v").mapInArrow(work, "i bigint, t bigint").groupBy("i").agg(F.sum("t").alias("t")).collect()}
+    true = {r["i"]: r["t"] for r in reps.select("id", "n", "dim", "v").mapInArrow(tidy(work), "i bigint, t bigint").groupBy("i").agg(F.sum("t").alias("t")).collect()}
     got = {r["a"]: r["n"] for r in found.where(F.col("b").isNull() & F.col("a").isin([r["id"] for r in chosen])).groupBy("a").agg(F.sum("n").alias("n")).collect()}
     every = sum(true.values())
     return sum(min(t, got.get(i, 0)) for i, t in true.items()) / every if every else 1.0

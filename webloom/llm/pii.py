@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, quoted
+from .common import free, quoted, tidy
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -188,7 +188,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([redact(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -210,5 +210,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 

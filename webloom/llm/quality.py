@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, plus, quoted, stored
+from .common import free, plus, quoted, stored, tidy
 from .tokens import Words, words
 
 THRESHOLD = 0.3
@@ -100,7 +100,7 @@ def with_statistics(docs: DataFrame, name: str, text: str = "text", keep: tuple[
 
     kept = list(keep if keep is not None else docs.columns)
     schema = plus(docs.select(*(F.col(quoted(c)) for c in kept)).schema, **{name: T.ArrayType(T.DoubleType())})
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ def scored(stats: DataFrame, model: Model, features: str, name: str) -> DataFram
             yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(flat))], names=[*others, name])
 
     others = [c for c in stats.columns if c != features]
-    return stats.mapInArrow(work, plus(stats.drop(features).schema, **{name: T.DoubleType()}))
+    return stats.mapInArrow(tidy(work), plus(stats.drop(features).schema, **{name: T.DoubleType()}))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

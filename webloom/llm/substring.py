@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_bits, id_filter, pack, passing, place, unpack
-from .common import checkpoint_dir, stored
+from .common import checkpoint_dir, stored, tidy
 from .tokens import U64, Words, mix, runs_of, words
 
 WINDOW = 20
 INDEXED = 8
 BATCHES = 2
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 _LOW = U64(0xFFFFFFFF)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -79,7 +79,7 @@ def described(docs: DataFrame) -> DataFrame:
                 sha += [hashlib.sha256(x).hexdigest() for x in joined(w)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in k], pa.int64()), pa.array([x[1] for x in k], pa.int64()), pa.array(sha, pa.string())], names=["id", "n_words", "k1", "k2", "sha"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, "id bigint, n_words bigint, k1 bigint, k2 bigint, sha string")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(work), "id bigint, n_words bigint, k1 bigint, k2 bigint, sha string")
 
 
 def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def _entries(docs: DataFrame, bits: int) -> DataFrame:
         if parts:
             yield from _fold(parts, bits, later_only=False)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, _ROWS)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(work), _ROWS)
 
 
 class Index:
@@ -253,7 +253,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())], names=["doc", "z"])
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    return known.select("doc", "text", place(F.col("doc")).alias("p")).mapInArrow(work, "doc bigint, z binary")
+    return known.select("doc", "text", place(F.col("doc")).alias("p")).mapInArrow(tidy(work), "doc bigint, z binary")
 
 
 def _with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _repeats(docs: DataFrame, candidates: DataFrame, bits: int) -> DataFrame:
         _, later = _grouped(unpack(t, "low", np.uint32), unpack(t, "more", U64), ids, at, later_only=True)
         return pa.Table.from_batches([_rows(1, _doc_block(ids[later], bits), ids[later], at[later])])
 
-    dealt = _with_texts(docs, candidates).mapInArrow(deal, _ROWS)
+    dealt = _with_texts(docs, candidates).mapInArrow(tidy(deal), _ROWS)
     return _by_document(dealt.groupBy("kind", "block").applyInArrow(find, _ROWS))
 
 
@@ -324,7 +324,7 @@ def _cut(docs: DataFrame, repeats: DataFrame) -> DataFrame:
                     k.append(np.frombuffer(hashlib.blake2b(w.hashes[lo:hi].tobytes(), digest_size=16).digest(), np.int64).tolist())
             yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in k], pa.int64()), pa.array([x[1] for x in k], pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.string())], names=["id", "x1", "x2", "n", "s"])
 
-    return _with_texts(docs, repeats).mapInArrow(work, "id bigint, x1 bigint, x2 bigint, n bigint, s string").dropDuplicates(["id", "x1", "x2"])
+    return _with_texts(docs, repeats).mapInArrow(tidy(work), "id bigint, x1 bigint, x2 bigint, n bigint, s string").dropDuplicates(["id", "x1", "x2"])
 
 
 def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:

@@ -18,8 +18,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 _POSITIONS = 64
-#: Bytes of text that are hashed at once; bounds the temporary arrays to some tens of MB.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are hashed at once; bounds the temporary arrays to some MB.
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .quality import fold
 from .tokens import LETTERS_ONLY, U64, Words, mix, starts_of, words
 
@@ -109,8 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column
         yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["i", "w"])
 
     # chosen has at most about SAMPLE rows of two numbers, whatever the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(gather, "doc_id bigint, y int, x binary")
-    got = rows.repartition(1).mapInArrow(learn, "i binary, w binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(tidy(gather), "doc_id bigint, y int, x binary")
+    got = rows.repartition(1).mapInArrow(tidy(learn), "i binary, w binary").collect()
     if not got:
         return np.zeros(0, np.int64), np.zeros(0)
     return np.frombuffer(got[0]["i"], np.int32).astype(np.int64), np.frombuffer(got[0]["w"], np.float64)
@@ -142,5 +143,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1), *weights.value))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(work), f"doc_id {kind}, score double")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

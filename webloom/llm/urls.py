@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: (verdict, rule): a host and a path, the longest one that fits decides.
 LIST_RULES = (
     ("block", "com/en/"),
@@ -169,7 +171,7 @@ def judge(pages: DataFrame, rules=LIST_RULES, globs=GLOBS, url: str = "url", pag
             )
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return pages.select(page_id, url).mapInArrow(work, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return pages.select(page_id, url).mapInArrow(tidy(work), f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 ORACLE = r"""
