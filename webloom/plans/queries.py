@@ -215,10 +215,8 @@ def request_keys(spark, sf_dir):
 
 def _scope(scope: Scope):
     def run(spark, sf_dir):
-        p = _t(spark, sf_dir, "pages").select("page_id", "url")
-        roots = X.frame(spark, [(r,) for r in X.ROOTS], "root string")
-        # a stated list of a few roots, so its size is known
-        return p.crossJoin(F.broadcast(roots)).select("page_id", "root", predicates.in_scope(F.col("url"), F.col("root"), scope).alias("ok"))
+        p = _t(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(*map(F.lit, X.ROOTS))).alias("root"))
+        return p.select("page_id", "root", predicates.in_scope(F.col("url"), F.col("root"), scope).alias("ok"))
 
     return run
 
