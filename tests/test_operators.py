@@ -52,6 +52,8 @@ def test_crawl_resumes_without_losing_the_queue(spark, tmp_path):
     waiting = visited.join(pending, "dedup_key", "left_anti")
     rest = crawling.crawl(site, pending.withColumn("skip_validation", F.lit(True)).drop("dedup_key"), X.CRAWL, visited=waiting)
     assert done | {r.url for r in rest.responses.collect()} == {u for u, _ in whole}
+    late = crawling.crawl(site, start, X.CRAWL, seconds=0)
+    assert late.responses.count() == 0 and late.pending.count() == 3
 
 
 def test_trie_modes(spark):

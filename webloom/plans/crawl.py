@@ -9,6 +9,7 @@ depth is the least.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,9 +101,9 @@ def extracted(responses: DataFrame, cfg: Crawl) -> DataFrame:
     return out.where("url IS NOT NULL").withColumn("root_hostname", root).withColumn("seq", F.xxhash64("parent", "url", "tag", "attribute")).drop("parent")
 
 
-def crawl(site: DataFrame, start: DataFrame, cfg: Crawl, max_levels: int | None = None, visited: DataFrame | None = None) -> Crawled:
-    """Runs to the fixpoint (or ``max_levels``). ``visited`` resumes an earlier run: its keys are not entered again."""
-    spark = site.sparkSession
+def crawl(site: DataFrame, start: DataFrame, cfg: Crawl, max_levels: int | None = None, visited: DataFrame | None = None, seconds: float | None = None) -> Crawled:
+    """Runs to the fixpoint (or ``max_levels``). ``visited`` resumes an earlier run: its keys are not entered again. After ``seconds`` no further level begins; what waits is ``pending``."""
+    spark, began = site.sparkSession, time.monotonic()
     candidates = funnel.with_defaults(start)
     if cfg.known_files:
         extra = funnel.with_defaults(known_files(site, start, cfg.known_files))
@@ -135,7 +136,7 @@ def crawl(site: DataFrame, start: DataFrame, cfg: Crawl, max_levels: int | None
         if front.isEmpty():
             break
         frontiers.append(front)
-        if level >= limit:
+        if level >= limit or (seconds is not None and time.monotonic() - began > seconds):
             pending = front
             break
         got = stored(fetched(front, site, cfg))
