@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import simhash as S
 from ..functions.text import strip_dom
+from ..storage import stored
 
 
 def native_simhash(df: DataFrame, id_col: str, words: str) -> DataFrame:
@@ -38,6 +39,7 @@ def pairs(reps: DataFrame, k: int = 3) -> DataFrame:
     signatures are joined, so copies make no pairs of their own; ``n_pairs`` is
     how many pairs of members a pair of classes stands for.
     """
+    reps = stored(reps)  # read twice below; signatures are computed once
     width = 64 // (k + 1)
     edges = [i * width for i in range(k + 1)] + [64]
     band = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("v")) for i in range(k + 1)]
