@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
 1. Vectors are scaled to length 1 in double precision; equal ones form a class.
-2. Centroids are fitted to a bounded sample (``SAMPLE`` vectors); every vector
+2. Centroids are fitted to a bounded sample (``PER_CELL`` vectors a cell, at most ``SAMPLE``); every vector
    goes to its ``OVERLAP`` nearest cells, so cells overlap. Cells above
    ``SHARD`` vectors are split into parts by hash, and every two parts of a cell
    make a shard, so that no task holds an unbounded cell.
@@ -39,9 +39,12 @@ from .common import stored, tidy
 from .components import components
 
 THRESHOLD = 0.9
-SAMPLE = 8192
+SAMPLE = 65_536
+PER_CELL = 32
 CELL = 1024
-CELLS_MOST = 4096
+CELLS_MOST = 16_384
+#: Numbers in a block of cosines between vectors and centroids.
+BLOCK = 1 << 22
 OVERLAP = 4
 SHARD = 4096
 DEGREE = 24
@@ -85,11 +88,18 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 1))
 
 
+def nearest(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest centroids of each vector, in no order; block by block, as both may be many."""
+    step = max(1, BLOCK // len(c))
+    parts = [np.argpartition(-(x[a : a + step] @ c.T), m - 1, axis=1)[:, :m] for a in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, m), np.int64)
+
+
 def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means with fixed starts."""
     c = x[np.linspace(0, len(x) - 1, k).astype(np.int64)].copy()
     for _ in range(rounds):
-        near = np.argmax(x @ c.T, axis=1)
+        near = nearest(x, c, 1)[:, 0]
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         norm = np.linalg.norm(total, axis=1)
@@ -112,7 +122,7 @@ def _assigned(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int) ->
                 part = b.filter(pa.array(dims == d))
                 c, x = shared.value[d], _matrix(part.column(3))
                 m = min(overlap, len(c))
-                near = np.sort(np.argpartition(-(x @ c.T), m - 1, axis=1)[:, :m], axis=1).astype(np.int32) + base[d]
+                near = np.sort(nearest(x, c, m), axis=1).astype(np.int32) + base[d]
                 row = np.repeat(np.arange(len(x)), m)
                 cells = pa.array([n.tobytes() for n in near], pa.binary())
                 take = pa.array(row)
@@ -336,9 +346,10 @@ def near_duplicates(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     # An id that several different vectors have stands for each of them; their smallest copy gives the class its id.
     centres = {}
     for d, size in sorted((r["dim"], r["count"]) for r in reps.groupBy("dim").count().collect()):
-        sample = reps.where(F.col("dim") == d).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(SAMPLE).select("v").toArrow()
+        cells = max(1, min(CELLS_MOST, -(-size * overlap // CELL)))
+        sample = reps.where(F.col("dim") == d).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(min(SAMPLE, PER_CELL * cells)).select("v").toArrow()
         x = _matrix(sample.column("v"))
-        centres[d] = centroids(x, max(1, min(CELLS_MOST, len(x), -(-size * overlap // CELL))))
+        centres[d] = centroids(x, min(cells, len(x)))
     while True:
         shards = stored(_sharded(_assigned(reps, centres, overlap)))
         found = stored(_found(shards, _graph(shards)))
