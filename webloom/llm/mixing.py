@@ -117,15 +117,29 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as often as the mix takes it whole; columns as they were."""
+    """The mix itself: each document as often as the mix takes it whole; columns as they were.
+
+    Only ids, sizes and keys are sorted. What a source gives beyond its whole
+    epochs ends at one document in key order, so documents are compared with
+    that border and texts are not shuffled. Rows alike in key, id and text go
+    together.
+    """
+    slim = stored(keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    first = -(1 << 63)
+    place = lambda i, k, t: F.struct(k.alias("k"), F.coalesce(i.cast("bigint"), F.lit(first)).alias("i"), t.alias("t"))
+    found = taken(slim, split_border=False)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    chosen = F.when(F.col("taken") > epochs * F.col("size"), place(F.col("doc_id"), F.col("key"), F.col("tie")))
+    src, times, border = (free(docs, n) for n in ("mix_source", "mix_times", "mix_border"))
+    goals = stored(found.groupBy(F.col("source").alias(src)).agg(F.max(epochs).alias(times), F.max(chosen).alias(border)))
     size, key, tie = (free(docs, n) for n in ("size", "key", "tie"))
-    df = keyed(docs, seed)
-    out = taken(df, size=size, key=key, tie=tie, split_border=False)
-    count = free(df, "taken")
-    times = F.when(F.col(quoted(size)) > 0, F.floor(F.col(quoted(count)) / F.col(quoted(size)))).otherwise(F.lit(0)).cast("int")
-    once = free(out, "copy")
-    repeated = out.withColumn(once, F.explode(F.array_repeat(F.lit(1), times)))
-    return repeated.select(*(F.col(quoted(n)) for n in docs.columns))
+    col = lambda n: F.col(quoted(n))
+    df = keyed(docs, seed).join(goals, F.col("source").eqNullSafe(col(src)))
+    more = F.coalesce(place(F.col("doc_id"), col(key), col(tie)) <= col(border), F.lit(False)).cast("int")
+    count = F.when(col(size) > 0, col(times) + more).otherwise(F.lit(0))
+    once = free(df, "mix_copy")
+    repeated = df.withColumn(once, F.explode(F.array_repeat(F.lit(1), count)))
+    return repeated.select(*(col(n) for n in docs.columns))
 
 
 ORACLE = r"""
