@@ -10,7 +10,8 @@ merges and is memoised. The result is that of merging by rank, in time linear
 in the piece. A place that led nowhere is never tried again.
 
 Pieces are the matches of the vocabulary's pattern; each is encoded by itself.
-Encoded pieces are memoised per worker, up to ``MEMO_PIECES`` short ones.
+Encoded pieces are memoised per task, two generations of up to ``MEMO_PIECES``
+short ones.
 
 Null and empty texts have no tokens. Special tokens are ordinary text. Repeated
 rows give repeated results.
@@ -33,15 +34,16 @@ from pyspark.sql import types as T
 
 from .common import free, plus, tidy
 
-MEMO_PIECES = 150_000
+MEMO_PIECES = 80_000
 #: Rows go out when their ids take so many bytes.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 MEMO_LENGTH = 40
 MEMO_PAIRS = 500_000
 
 
 class Encoder:
-    def __init__(self, lines: Iterable[bytes], pattern: str):
+    def __init__(self, lines: Iterable[bytes], pattern: str, packed: bool = False):
+        self.packed = packed
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         pairs = [line.split() for line in lines if line.strip()]
         self.token = {int(rank): base64.b64decode(raw).decode("latin-1") for raw, rank in pairs}
@@ -53,7 +55,8 @@ class Encoder:
         self.shorter = {r: next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank), -1) for r, t in self.token.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
+        self.memo: dict[str, tuple[str | bytes, int, bytes]] = {}
+        self.older: dict[str, tuple[str | bytes, int, bytes]] = {}
 
     def undo(self, r: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes token r; None for a single byte."""
@@ -136,38 +139,45 @@ class Encoder:
         token = self.token
         return "".join([token[i] for i in ids]).encode("latin-1")
 
-    def _entry(self, p: str) -> tuple[str, int, bytes, bytes]:
+    def _entry(self, p: str) -> tuple[str | bytes, int, bytes]:
+        known = self.older.get(p)
+        if known is not None:
+            return self._keep(p, known)
         ids = self.piece(p.encode().decode("latin-1"))
-        entry = (" ".join(map(str, ids)), len(ids), self.decode(ids), array("i", ids).tobytes())
+        entry = (array("i", ids).tobytes() if self.packed else " ".join(map(str, ids)), len(ids), self.decode(ids))
+        return self._keep(p, entry)
+
+    def _keep(self, p: str, entry: tuple[str | bytes, int, bytes]) -> tuple[str | bytes, int, bytes]:
+        """Two generations: what was not asked for since the last change of generations is forgotten."""
         if len(p) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[p] = entry
         return entry
 
-    def entries(self, text: str) -> list[tuple[str, int, bytes, bytes]]:
-        """(ids joined by a space, their number, their bytes, ids as packed 32-bit numbers) of each piece."""
-        known, new = self.memo.get, self._entry
-        return [known(p) or new(p) for p in self.pieces(text)]
+    def entries(self, text: str) -> list[tuple[str | bytes, int, bytes]]:
+        """(ids joined by a space or as packed 32-bit numbers, their number, their bytes) of each piece."""
+        new = self._entry
+        return [self.memo.get(p) or new(p) for p in self.pieces(text)]
 
 
-def _with_encoder(shared, work: Callable[[Encoder, Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def _with_encoder(shared, work: Callable[[Encoder, Iterator], Iterator], packed: bool = False) -> Callable[[Iterator], Iterator]:
     """``work`` with this worker's encoder, whose memos go when the task ends."""
 
     def run(batches: Iterator) -> Iterator:
-        e = _encoder(*shared.value)
+        e = _encoder(*shared.value, packed)
         try:
             yield from work(e, batches)
         finally:
-            e.memo.clear()
+            e.memo, e.older = {}, {}
             e.compatible.clear()
 
     return run
 
 
 @cache
-def _encoder(raw: bytes, pattern: str) -> Encoder:
-    return Encoder(raw.splitlines(), pattern)
+def _encoder(raw: bytes, pattern: str, packed: bool) -> Encoder:
+    return Encoder(raw.splitlines(), pattern, packed)
 
 
 def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[str, str]:
@@ -196,7 +206,7 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: s
                 while begin + rows < whole.num_rows and size < OUT_BYTES:
                     t = whole.column(at)[begin + rows]
                     got = e.entries(t.as_py() or "")
-                    ids_.append(b"".join([x[3] for x in got]))
+                    ids_.append(b"".join([x[0] for x in got]))
                     back.append(b"".join([x[2] for x in got]).decode() if t.is_valid else None)
                     size += len(ids_[-1])
                     rows += 1
@@ -207,7 +217,7 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: s
                 cols = [pa.array(back, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
                 yield pa.RecordBatch.from_arrays([*cols, tokens], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(tidy(_with_encoder(shared, work)), plus(docs.schema, **{name: T.ArrayType(T.IntegerType())}))
+    return docs.mapInArrow(tidy(_with_encoder(shared, work, packed=True)), plus(docs.schema, **{name: T.ArrayType(T.IntegerType())}))
 
 
 def decoded(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
