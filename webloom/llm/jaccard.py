@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_bits, id_filter, pack, passing, place, unpack
-from .common import quoted, stored, tidy
+from .common import free, quoted, stored, tidy
 from .components import components
 from .tokens import U64, shingle_sets, words
 
@@ -317,39 +317,47 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of equal documents, enough of them to connect all that linked documents connect."""
+def linked(docs: DataFrame) -> DataFrame:
+    """(id, component_id) of the classes of equal documents that have a link."""
     bits = block_bits(docs.count())
     kept = stored(_kept_columns(docs, bits, _hot_columns(docs, bits)))
     hot = stored(_hot_rows(kept))
     pairs = stored(_cold_pairs(kept).union(_pivot_pairs(hot)).distinct())
     found = stored(_verified(docs, pairs))
-    if hot.isEmpty():
-        return found
-    crossing = stored(_crossing_pairs(hot, components(found)).join(pairs, ["a", "b"], "left_anti"))
+    comps = components(found)
+    crossing = stored(_crossing_pairs(hot, comps).join(pairs, ["a", "b"], "left_anti"))
     if crossing.isEmpty():
-        return found
-    return found.union(_verified(docs, crossing))
+        return comps
+    return components(found.union(_verified(docs, crossing)))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     meta = stored(described(docs))
     classes = meta.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    comps = components(links(docs)).select(F.col("id").alias("rep"), "component_id")
+    comps = linked(docs).select(F.col("id").alias("rep"), "component_id")
     classes = classes.join(comps, "rep", "left").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.coalesce("component_id", "rep").alias("component_id"))
     out = meta.join(classes, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the ids of ``gone``. Only rows that a bounded filter cannot rule out are joined, so most texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(gone, "doc_id"))
+    may_go = F.arrow_udf(lambda at: passing(shared.value, at), "boolean")(place(F.coalesce(F.col("doc_id"), F.lit(0))))
+    cols = [F.col(quoted(c)) for c in docs.columns]
+    some = docs.where(may_go).join(gone.withColumnRenamed("doc_id", free(docs, "gone_id")), F.col("doc_id") == F.col(free(docs, "gone_id")), "left_anti")
+    return docs.where(~may_go).select(*cols).union(some.select(*cols))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group of linked documents: that with the smallest id. Columns as they were.
 
     Documents without words stay, each for itself. Where rows share an id, one row of the id that stays is kept.
     """
     found = stored(join(docs))
-    gone = found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(quoted(c)) for c in docs.columns))
+    gone = found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct()
+    left = _without(docs, gone)
     repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return left
