@@ -165,6 +165,41 @@ def test_vectors_equal_brute_force(spark, monkeypatch, shard):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def group(rng, size, dims, noise=0.14):
+    return unit(rng.normal(size=(1, dims))) + rng.normal(size=(size, dims)) * noise / dims**0.5
+
+
+@pytest.mark.parametrize("sizes", [[600] + [2] * 60, [80] * 20, [150] * 4])
+def test_every_group_of_a_shard_is_reached(sizes):
+    rng = np.random.default_rng(7)
+    if len(sizes) == 4:  # tight parts of one group
+        base = group(rng, 1, 64)
+        parts = [base + rng.normal(size=(1, 64)) * 0.025 + rng.normal(size=(s, 64)) * 0.0025 for s in sizes]
+    else:
+        parts = [group(rng, s, 64) for s in sizes]
+    x = unit(np.concatenate([*parts, rng.normal(size=(200, 64))]))
+    x = x[rng.permutation(len(x))]
+    found = {i: set(hits.tolist()) - {i} for i, hits in neardup.search(x, neardup.build(x), np.ones(len(x), int))}
+    true = {i: set(np.flatnonzero(r).tolist()) - {i} for i, r in enumerate(x @ x.T >= neardup.THRESHOLD)}
+    assert sum(map(bool, true.values())) >= sum(sizes) and found == true
+
+
+def test_vectors_that_the_graph_does_not_reach_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARD", 60)
+    monkeypatch.setattr(neardup, "CELL", 50)
+    monkeypatch.setattr(neardup, "search", lambda x, graph, counts: iter(()))
+    rng = np.random.default_rng(8)
+    x = np.concatenate([group(rng, 70, 16), group(rng, 2, 16), group(rng, 3, 16), rng.normal(size=(60, 16))])
+    rows = [(i, v.astype(np.float32).astype(float).tolist()) for i, v in enumerate(x)] + [(500, [1.0, 2.0]), (501, [2.0, 4.1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert out == brute_vectors(rows)
+
+
 def targets(sizes):
     names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
     w = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}

@@ -7,17 +7,20 @@
    make a shard, so that no task holds an unbounded cell.
 3. In each shard a graph is built: candidates are a vector's nearest ones and
    robust pruning keeps those that no kept one makes redundant (factor
-   ``ALPHA``), up to ``DEGREE``; edges run both ways.
+   ``ALPHA``), up to ``DEGREE``; edges run both ways. A group of more near copies
+   than candidates may fall into pieces without an edge between them: each vector
+   of a piece gets an edge to its nearest one within the range outside it, until
+   no link leaves a piece.
 4. The adjacency lists of all shards are united for each vector.
-5. Each shard is searched on the united graph from its medoid: greedy, with a
-   beam; from what it finds within the range the search expands over the
+5. Each shard is searched on the united graph for each vector from itself and
+   from the medoid: greedy, with a beam; from what it finds within the range the search expands over the
    neighbours of hits until it finds no more.
 6. Hits are verified in double precision: cosine >= 0.9. A pair counts in the
    first shard that holds both, so counts add up without listing pairs. Of the
    links a shard keeps a spanning forest; components come from the forests.
 7. A bounded set of ``AUDIT`` vectors is compared with all rows by brute force.
    If the search found less than ``RECALL`` of their links it is repeated with
-   more overlap.
+   more overlap, and if that does not do, all pairs are compared.
 
 Vectors that are null, zero or hold null or non-finite components link with
 nothing; vectors of other dimensions link only with their like. Equal vectors
@@ -28,6 +31,7 @@ id. A null id gets a null component. An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import stored, tidy
 from .components import components
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.9
 SAMPLE = 65_536
 PER_CELL = 32
@@ -178,13 +184,59 @@ def build(x: np.ndarray) -> list[np.ndarray]:
         out += robust_prune(x, np.take_along_axis(near, order, axis=1), np.take_along_axis(s, order, axis=1))
     src = np.repeat(np.arange(n), [len(o) for o in out])
     dst = np.concatenate(out)
-    pairs = np.unique(np.concatenate([src * n + dst, dst * n + src]))
+    pairs = np.unique(np.concatenate([src * n + dst, dst * n + src, *_bridges(x, src, dst)]))
     cut = np.searchsorted(pairs, np.arange(n + 1) * n)
     return [pairs[a:b] % n for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _pieces(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels after the edges a-b join theirs: the least of each piece."""
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        for ends in (a, b):
+            np.minimum.at(new, label[ends], low)
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _bridges(x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> list[np.ndarray]:
+    """Edges (from * n + to) between pieces of links that no edge joins.
+
+    In each of at most log2(n) rounds one out of each vector, and back the nearest of each piece.
+    """
+    n, out = len(x), []
+    near = np.concatenate([np.einsum("rd,rd->r", x[src[a : a + 8192]], x[dst[a : a + 8192]]) >= THRESHOLD for a in range(0, len(src), 8192)])
+    label = _pieces(np.arange(n), src[near], dst[near])
+    while True:
+        to, high = np.full(n, -1, np.int64), np.zeros(n)
+        for a in range(0, n, 512):
+            sims = x[a : a + 512] @ x.T
+            sims[label[a : a + 512, None] == label[None, :]] = -2.0
+            best = np.argmax(sims, axis=1)
+            high[a : a + 512] = sims[np.arange(len(sims)), best]
+            to[a : a + 512] = np.where(high[a : a + 512] >= THRESHOLD, best, -1)
+        some = np.flatnonzero(to >= 0)
+        if not len(some):
+            return out
+        some = some[np.argsort(-high[some], kind="stable")]
+        back = some[np.unique(to[some] * n + label[some], return_index=True)[1]]
+        out += [some * n + to[some], to[back] * n + back]
+        label = _pieces(label, some, to[some])
+
+
+def compare(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each vector and those within THRESHOLD, by brute force."""
+    for a in range(0, len(x), 256):
+        for i, near in enumerate(x[a : a + 256] @ x.T >= THRESHOLD):
+            yield a + i, np.flatnonzero(near)
+
+
 def search(x: np.ndarray, graph: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each vector and those that a range-expanding greedy search from the medoid finds within THRESHOLD."""
+    """Each vector and those that a range-expanding greedy search from itself and the medoid finds within THRESHOLD."""
     n = len(x)
     medoid = int(np.argmax(x @ x.mean(axis=0)))
     width = max(1, max(map(len, graph)))
@@ -193,12 +245,12 @@ def search(x: np.ndarray, graph: list[np.ndarray], counts: np.ndarray) -> Iterat
         padded[i, : len(g)] = g
     for a in range(0, n, 256):
         q = x[a : a + 256]
-        found = _beam(x, padded, q, medoid)
+        found = _beam(x, padded, q, medoid, a + np.arange(len(q)))
         for i in range(len(q)):
             yield a + i, _expand(x, graph, q[i], found[i])
 
 
-def _beam(x: np.ndarray, padded: np.ndarray, q: np.ndarray, medoid: int) -> list[np.ndarray]:
+def _beam(x: np.ndarray, padded: np.ndarray, q: np.ndarray, medoid: int, own: np.ndarray) -> list[np.ndarray]:
     """The beams of all queries at once: the best vectors met by following the best not yet followed."""
     rows, n = len(q), len(x)
     seen = np.zeros((rows, n), bool)
@@ -207,6 +259,9 @@ def _beam(x: np.ndarray, padded: np.ndarray, q: np.ndarray, medoid: int) -> list
     done = np.ones((rows, BEAM), bool)
     best[:, 0], sims[:, 0], done[:, 0] = medoid, q @ x[medoid], False
     seen[:, medoid] = True
+    r = np.flatnonzero(own != medoid)
+    best[r, 1], sims[r, 1], done[r, 1] = own[r], np.einsum("rd,rd->r", q[r], x[own[r]]), False
+    seen[r, own[r]] = True
     while True:
         r = np.flatnonzero(~done.all(axis=1))
         if not len(r):
@@ -268,8 +323,9 @@ def _graph(shards: DataFrame) -> DataFrame:
     return built.groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def _found(shards: DataFrame, graph: DataFrame) -> DataFrame:
-    """Rows (a, b, n): with b null, vectors found for class a in a shard; else a link of a spanning forest."""
+def _found(shards: DataFrame, graph: DataFrame | None) -> DataFrame:
+    """Rows (a, b, n): with b null, vectors found for class a in a shard; else a link of a spanning forest. Without a graph by brute force."""
+    exact = graph is None
 
     def work(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         cell, px, py = (k.as_py() for k in key)
@@ -278,13 +334,13 @@ def _found(shards: DataFrame, graph: DataFrame) -> DataFrame:
         ids, counts, part = (t.column(c).to_numpy() for c in ("id", "n", "part"))
         x, cells = _matrix(t.column("v")), [np.frombuffer(c, np.int32) for c in t.column("cells").to_pylist()]
         lists = []
-        for near in t.column("near").to_pylist():
+        for near in [] if exact else t.column("near").to_pylist():
             g = np.array(near, np.int64)
             at = np.minimum(np.searchsorted(ids, g), len(ids) - 1)
             lists.append(at[ids[at] == g])
         cells = np.stack(cells)
         total, left, right = np.zeros(len(ids), np.int64), [], []
-        for i, hits in search(x, lists, counts):
+        for i, hits in compare(x) if exact else search(x, lists, counts):
             hits = hits[hits != i]
             if not len(hits):
                 continue
@@ -309,7 +365,7 @@ def _found(shards: DataFrame, graph: DataFrame) -> DataFrame:
             }
         )
 
-    both = shards.join(graph, F.col("id") == F.col("i")).drop("i")
+    both = shards if exact else shards.join(graph, F.col("id") == F.col("i")).drop("i")
     return both.groupBy("cell", "x", "y").applyInArrow(work, "a bigint, b bigint, n bigint")
 
 
@@ -353,7 +409,12 @@ def near_duplicates(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     while True:
         shards = stored(_sharded(_assigned(reps, centres, overlap)))
         found = stored(_found(shards, _graph(shards)))
-        if audit(reps, found) >= RECALL or overlap >= 4 * OVERLAP:
+        if audit(reps, found) >= RECALL:
+            break
+        if overlap >= min(4 * OVERLAP, max(map(len, centres.values()), default=0)):
+            # One cell a dimension: every two parts of all vectors are a shard, so that no pair is left out.
+            log.warning("links are missing at overlap %d: comparing all pairs", overlap)
+            found = stored(_found(_sharded(_assigned(reps, {d: c[:1] for d, c in centres.items()}, 1)), None))
             break
         overlap *= 2
     comps = components(found.where("b is not null")).select(F.col("id").alias("c"), "component_id")
