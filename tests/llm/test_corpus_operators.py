@@ -200,6 +200,19 @@ def test_vectors_that_the_graph_does_not_reach_are_compared(spark, monkeypatch):
     assert out == brute_vectors(rows)
 
 
+@pytest.mark.parametrize("sizes,drawn", [([400] + [2] * 30, 256), ([2], 16)])
+def test_audit_sees_lost_pairs(spark, monkeypatch, sizes, drawn):
+    monkeypatch.setattr(neardup, "AUDIT", drawn)
+    monkeypatch.setattr(neardup, "search", lambda x, graph, counts: ((i, hits) for i, hits in neardup.compare(x) if len(hits) > 2))
+    rng = np.random.default_rng(9)
+    x = np.concatenate([*(group(rng, s, 32) for s in sizes), rng.normal(size=(300, 32))])
+    rows = [(i, v.astype(np.float32).astype(float).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    e = unit(np.array([v for _, v in rows]))
+    out = {r.vec_id: r.n_links for r in neardup.near_duplicates(df).collect()}
+    assert out == dict(enumerate(((e @ e.T >= neardup.THRESHOLD).sum(axis=1) - 1).tolist()))
+
+
 def targets(sizes):
     names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
     w = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}

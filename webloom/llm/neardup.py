@@ -18,9 +18,12 @@
 6. Hits are verified in double precision: cosine >= 0.9. A pair counts in the
    first shard that holds both, so counts add up without listing pairs. Of the
    links a shard keeps a spanning forest; components come from the forests.
-7. A bounded set of ``AUDIT`` vectors is compared with all rows by brute force.
-   If the search found less than ``RECALL`` of their links it is repeated with
-   more overlap, and if that does not do, all pairs are compared.
+7. Vectors drawn by a hash are compared with all rows by brute force, ``AUDIT``
+   at first and more until ``LINKED`` of them have links; then the same outside
+   groups of over a share ``LARGE`` of all, which would hide losses elsewhere. If
+   for either draw the mean share of links that the search found of a vector is
+   less than ``RECALL`` it is repeated with more overlap, and if that does not do,
+   all pairs are compared.
 
 Vectors that are null, zero or hold null or non-finite components link with
 nothing; vectors of other dimensions link only with their like. Equal vectors
@@ -33,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import logging
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +62,11 @@ NEAREST = 64
 ALPHA = 1.2
 BEAM = 16
 AUDIT = 256
+LINKED = 64
+#: Vectors that one draw of the audit compares at once and at most.
+AUDIT_BLOCK = 4096
+AUDIT_MOST = 65_536
+LARGE = 1 / 64
 RECALL = 0.95
 _EPS = 1e-12
 
@@ -369,27 +378,68 @@ def _found(shards: DataFrame, graph: DataFrame | None) -> DataFrame:
     return both.groupBy("cell", "x", "y").applyInArrow(work, "a bigint, b bigint, n bigint")
 
 
-def audit(reps: DataFrame, found: DataFrame) -> float:
-    """The share of the links of AUDIT classes, chosen by a hash, that the search found; by brute force over all rows."""
-    chosen = reps.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).select("id", "v").collect()
+class Audit(NamedTuple):
+    """Of the vectors compared: how many, how many have links, how many of those found none, and the mean recall of those with links."""
+
+    drawn: int
+    linked: int
+    none: int
+    recall: float
+
+
+def _true_links(reps: DataFrame, chosen: DataFrame) -> dict[int, int]:
+    """The number of links of each chosen class that has some, by brute force over all rows."""
+    own = reps.join(F.broadcast(chosen), F.col("id") == F.col("i")).select("id", "dim", "v").collect()  # at most AUDIT_BLOCK ids
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for d in {len(r["v"]) // 8 for r in chosen}:
-        own = [r for r in chosen if len(r["v"]) == 8 * d]
-        by_dim[d] = (np.array([r["id"] for r in own]), np.stack([np.frombuffer(r["v"], np.float64) for r in own]))
+    for d in {r["dim"] for r in own}:
+        some = [r for r in own if r["dim"] == d]
+        by_dim[d] = (np.array([r["id"] for r in some]), np.stack([np.frombuffer(r["v"], np.float64) for r in some]))
     shared = reps.sparkSession.sparkContext.broadcast(by_dim)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in shared.value.items()}
         for b in batches:
             dims = b.column(2).to_numpy()
             for d, (ids, q) in shared.value.items():
                 part = b.filter(pa.array(dims == d))
-                hit = (q @ _matrix(part.column(3)).T >= THRESHOLD) & (ids[:, None] != part.column(0).to_numpy()[None, :]) if part.num_rows else np.zeros((len(ids), 0), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((hit * (part.column(1).to_numpy() if part.num_rows else 0)).sum(axis=1).astype(np.int64), pa.int64())], names=["i", "t"])
-
-    true = {r["i"]: r["t"] for r in reps.select("id", "n", "dim", "v").mapInArrow(tidy(work), "i bigint, t bigint").groupBy("i").agg(F.sum("t").alias("t")).collect()}
-    got = {r["a"]: r["n"] for r in found.where(F.col("b").isNull() & F.col("a").isin([r["id"] for r in chosen])).groupBy("a").agg(F.sum("n").alias("n")).collect()}
-    every = sum(true.values())
-    return sum(min(t, got.get(i, 0)) for i, t in true.items()) / every if every else 1.0
+                if part.num_rows:
+                    hit = (q @ _matrix(part.column(3)).T >= THRESHOLD) & (ids[:, None] != part.column(0).to_numpy()[None, :])
+                    row, col = np.nonzero(hit)
+                    np.add.at(total[d], row, part.column(1).to_numpy()[col])
+        for d, (ids, _) in shared.value.items():
+            some = np.flatnonzero(total[d])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(total[d][some], pa.int64())], names=["i", "t"])
+
+    return {r["i"]: r["t"] for r in reps.select("id", "n", "dim", "v").mapInArrow(tidy(work), "i bigint, t bigint").groupBy("i").agg(F.sum("t").alias("t")).collect()}
+
+
+def _drawn(reps: DataFrame, found: DataFrame, pool: DataFrame) -> Audit:
+    """Compares classes of the pool (column id) in order of a hash until LINKED of them have links."""
+    pool, after, take, drawn, shares = pool.select("id", F.xxhash64("id", F.lit(3)).alias("h")), None, AUDIT, 0, []
+    while len(shares) < LINKED and drawn < AUDIT_MOST:
+        rows = (pool if after is None else pool.where(F.col("h") > after)).orderBy("h", "id").limit(take).collect()
+        if not rows:
+            break
+        chosen = reps.sparkSession.createDataFrame([(i,) for i in {r["id"] for r in rows}], "i bigint")
+        true = _true_links(reps, chosen)
+        got = {r["a"]: r["n"] for r in found.where("b is null").join(F.broadcast(chosen), F.col("a") == F.col("i")).groupBy("a").agg(F.sum("n").alias("n")).collect()}
+        shares += [min(t, got.get(i, 0)) / t for i, t in true.items()]
+        after, drawn, take = rows[-1]["h"], drawn + len(rows), min(4 * take, AUDIT_BLOCK)
+    return Audit(drawn, len(shares), sum(x == 0 for x in shares), sum(shares) / len(shares) if shares else 1.0)
+
+
+def audit(reps: DataFrame, found: DataFrame, comps: DataFrame) -> list[Audit]:
+    """What the search found of the links of vectors drawn from all, and of those outside large groups if there are some."""
+    sizes = comps.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE * reps.count())
+    large = [r["component_id"] for r in sizes.collect()]  # fewer than 1 / LARGE
+    ids = reps.select("id")
+    pools = [ids]
+    if large:
+        pools.append(ids.join(comps.where(F.col("component_id").isin(large)).select(F.col("id").alias("c")), F.col("id") == F.col("c"), "left_anti"))
+    out = [_drawn(reps, found, p) for p in pools]
+    for name, a in zip(("all", "outside large groups"), out):
+        log.log(logging.INFO if a.linked >= LINKED else logging.WARNING, "audit, %s: %d vectors compared, %d with links, %d of them found none, mean recall %.4f", name, *a)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
@@ -409,15 +459,17 @@ def near_duplicates(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     while True:
         shards = stored(_sharded(_assigned(reps, centres, overlap)))
         found = stored(_found(shards, _graph(shards)))
-        if audit(reps, found) >= RECALL:
+        comps = components(found.where("b is not null"))
+        if min(a.recall for a in audit(reps, found, comps)) >= RECALL:
             break
         if overlap >= min(4 * OVERLAP, max(map(len, centres.values()), default=0)):
             # One cell a dimension: every two parts of all vectors are a shard, so that no pair is left out.
             log.warning("links are missing at overlap %d: comparing all pairs", overlap)
             found = stored(_found(_sharded(_assigned(reps, {d: c[:1] for d, c in centres.items()}, 1)), None))
+            comps = components(found.where("b is not null"))
             break
         overlap *= 2
-    comps = components(found.where("b is not null")).select(F.col("id").alias("c"), "component_id")
+    comps = comps.select(F.col("id").alias("c"), "component_id")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("m"))
     known = reps.select("id", "n", F.col("key").alias("k")).join(comps, F.col("id") == F.col("c"), "left").join(counts, F.col("id") == F.col("a"), "left")
     known = known.select("k", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
