@@ -65,6 +65,32 @@ def test_trie_modes(spark):
     assert by_seq[1][1] != "{param}" and by_seq[199] == ["p", "{param}"]
 
 
+def folded(paths, threshold):
+    out = {p: [] for p in paths}
+    for i in range(max(map(len, paths))):
+        below = {}
+        for p in out:
+            if len(p) > i:
+                below.setdefault(tuple(out[p]), set()).add(p[i])
+        for p in out:
+            if len(p) > i:
+                out[p] = [*out[p], "{param}" if len(below[tuple(out[p][:i])]) > threshold else p[i]]
+    return {"/".join(p) for p in out.values()}
+
+
+def test_set_mode_folds_deep_paths(spark):
+    names = ["a-b", "c-d"] + [f"{x}{y}-z" for x in "efghi" for y in "klm"]
+    rng = random.Random(4)
+    wide = {3, 17, 18, 21}
+    paths = [tuple(rng.choice(names) if k in wide else rng.choice(names[:2]) if k == 19 else f"p{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(rng.randint(18, 24))) for _ in range(300)]
+    paths.append(paths[0][:1] + ("one-deep",) * 60)
+    df = rows_of(spark, [(i, "https://h.test/" + "/".join(p), 0, "") for i, p in enumerate(paths)])
+    out = {r.f.removeprefix("https://h.test/") for r in trie.with_set_mode(df, "url", "f").collect()}
+    assert out == folded(paths, trie.THRESHOLD) and len(out) < 60 and any(f.split("/")[17] == "{param}" for f in out)
+    rejected = funnel.judged(df, Crawl(filter_similar=True)).where("reject_reason = 'duplicate'").count()
+    assert rejected == len(paths) - len(out)
+
+
 def test_simhash_forms_agree(spark):
     texts = [(i, " ".join(random.Random(i).choices(["a", "b", "für", "中", "dd", "e"], k=i))) for i in range(12)]
     df = spark.createDataFrame(texts, "id bigint, t string")

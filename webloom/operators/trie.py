@@ -9,23 +9,31 @@ values seen before a position is promoted stay as they are.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..storage import stored
 
 PARAM = "{param}"
 THRESHOLD = 10
-#: Positions of a path that set mode looks at; what follows stays as it is.
-POSITIONS = 16
+#: Positions that set mode folds before it writes its rows: the plan doubles with each.
+ROUNDS = 4
 
 
-def with_set_mode(df: DataFrame, url: str, name: str, threshold: int = THRESHOLD, positions: int = POSITIONS) -> DataFrame:
-    """``df`` with the fingerprint under which parameters are folded, in column ``name``."""
+def with_set_mode(df: DataFrame, url: str, name: str, threshold: int = THRESHOLD) -> DataFrame:
+    """``df`` with the fingerprint under which parameters are folded, in column ``name``.
+
+    Positions are folded down to the last that more than ``threshold`` rows of one host reach; no later one can be wide.
+    """
     u = F.col(url)
     df = df.withColumn("__h", urls.host(u)).withColumn("__s", urls.segments(u)).withColumn("__p", F.lit(""))
-    deepest = df.agg(F.max(F.size("__s"))).first()[0] or 0
-    for i in range(min(deepest, positions)):
+    sizes = df.groupBy("__h", F.size("__s").alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
+    reach = sizes.withColumn("__c", F.sum("__c").over(Window.partitionBy("__h").orderBy(F.desc("__k"))))
+    deepest = reach.where(F.col("__c") > threshold).agg(F.max("__k")).first()[0] or 0
+    for i in range(deepest):
+        if i and i % ROUNDS == 0:
+            df = stored(df)
         seg = F.get("__s", F.lit(i))
         wide = df.where(seg.isNotNull()).groupBy("__h", "__p").agg(F.count_distinct(seg).alias("__n")).where(F.col("__n") > threshold)
         wide = wide.select(F.col("__h").alias("__wh"), F.col("__p").alias("__wp"), F.lit(True).alias("__w"))
