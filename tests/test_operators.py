@@ -65,6 +65,11 @@ def test_trie_modes(spark):
     assert by_seq[1][1] != "{param}" and by_seq[199] == ["p", "{param}"]
 
 
+def test_long_pattern_lists_are_read_whole(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("\n".join(f"^p{i}$" for i in range(10_050)))
+    assert readers.lines_or_value(spark, str(tmp_path / "long.txt")) == [f"^p{i}$" for i in range(10_050)]
+
+
 def folded(paths, threshold):
     out = {p: [] for p in paths}
     for i in range(max(map(len, paths))):
