@@ -65,6 +65,14 @@ def test_trie_modes(spark):
     assert by_seq[1][1] != "{param}" and by_seq[199] == ["p", "{param}"]
 
 
+@pytest.mark.parametrize("shown", [False, True])
+def test_out_of_scope_rows_are_shown_under_the_flag(spark, shown):
+    html = '<a href="https://a.test/in">x</a><a href="https://b.test/out">y</a>'
+    site = spark.createDataFrame([("https://a.test/", 200, "text/html", None, html)], "url string, status int, content_type string, headers map<string,string>, html string")
+    out = crawling.crawl(site, crawling.seeds(spark, ["https://a.test/"]).withColumn("root_hostname", F.lit("a.test")), Crawl(scope=Scope("fqdn"), display_out_scope=shown))
+    assert {(r.url, r.source, r.error) for r in out.errors.collect()} == ({("https://b.test/out", "https://a.test/", "endpoint is out of scope")} if shown else set())
+
+
 def test_long_pattern_lists_are_read_whole(spark, tmp_path):
     (tmp_path / "long.txt").write_text("\n".join(f"^p{i}$" for i in range(10_050)))
     assert readers.lines_or_value(spark, str(tmp_path / "long.txt")) == [f"^p{i}$" for i in range(10_050)]

@@ -33,6 +33,7 @@ class Crawled:
     rejected: DataFrame  # judged candidates that were not accepted
     visited: DataFrame  # keys used up; with `pending` enough to resume
     pending: DataFrame  # accepted but not fetched (beyond max_levels)
+    errors: DataFrame  # with display_out_scope: a row for each request that scope rejected
 
 
 def seeds(spark: SparkSession, urls_: list[str]) -> DataFrame:
@@ -151,4 +152,7 @@ def crawl(site: DataFrame, start: DataFrame, cfg: Crawl, max_levels: int | None
         return otherwise if out is None else out
 
     none = fetched(empty, site, cfg)
-    return Crawled(union(responses, none), union(frontiers, empty), union(rejected, funnel.judged(funnel.with_defaults(empty), cfg)), union(keys, empty.select("dedup_key")), pending)
+    away = union(rejected, funnel.judged(funnel.with_defaults(empty), cfg))
+    errors = away.where((F.col("reject_reason") == "out_of_scope") & F.lit(cfg.display_out_scope))
+    errors = errors.select("url", "method", "body", "depth", "root_hostname", "tag", "attribute", "source", F.lit("endpoint is out of scope").alias("error"))
+    return Crawled(union(responses, none), union(frontiers, empty), away, union(keys, empty.select("dedup_key")), pending, errors)
