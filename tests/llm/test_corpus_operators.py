@@ -137,6 +137,68 @@ def test_substring_edges(docs):
     assert sorted((r.doc_id or 0, r.n_removed) for r in out) == [(0, 0), (1, 0), (1, 0), (2, 30)]
 
 
+def passages_of(rng, n=120):
+    word = lambda k=500: f"v{rng.randrange(k)}"
+    passages = [[word() for _ in range(rng.randint(15, 60))] for _ in range(6)]
+    texts = []
+    for _ in range(n):
+        t = [word() for _ in range(rng.randint(0, 50))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            at = rng.randint(0, len(t))
+            t[at:at] = p[rng.randint(0, 10) : len(p) - rng.randint(0, 5)]
+        texts.append(" ".join(t))
+    return texts
+
+
+def test_substring_index_goes_on_in_another_session(spark, docs, tmp_path):
+    """Five batches, the index closed and opened after the second: as if all had been there at once; runs are compacted, history is never shuffled."""
+    texts = passages_of(random.Random(9))
+    texts[70], texts[90] = texts[3], texts[3]
+    rows = list(enumerate(texts))
+    want, got = brute_substring(rows), {}
+    cuts = [0, 30, 55, 56, 100, 120]
+    index = substring.Index.create(spark, f"file://{tmp_path}/index", n_docs=200)
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if k == 2:
+            index.close()
+            index = substring.Index.open(spark.newSession(), f"file://{tmp_path}/index")
+        out = index.deduplicate(docs(rows[a:b]), docs(rows[:b]))
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()}
+    assert got == want
+    assert any(level for _, level in index.state["runs"]) and len(index.state["runs"]) <= 3
+    assert {p.name for p in (tmp_path / "index" / "entries").iterdir() if p.name.startswith("part=")} == {f"part=run-{r}" for r, _ in index.state["runs"]}
+    merge = index._merged(docs(rows[:5]), 99)._jdf.queryExecution().executedPlan().toString()
+    assert merge.count("Exchange") == 1 and "Exchange" not in index._compacted([r for r, _ in index.state["runs"]], 99)._jdf.queryExecution().executedPlan().toString()
+    index.delete()
+    assert not (tmp_path / "index").exists()
+
+
+def test_an_attempt_that_did_not_end_leaves_no_trace(spark, docs, tmp_path, monkeypatch):
+    rows = list(enumerate(passages_of(random.Random(11), 40)))
+    index = substring.Index.create(spark, f"file://{tmp_path}/index", n_docs=40)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.deduplicate(docs(rows[:20])).collect()}
+
+    def fail(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(substring, "_repeats", fail)
+        index.add(docs(rows[20:]), docs(rows))
+    index.close()
+    index = substring.Index.open(spark, f"file://{tmp_path}/index")
+    got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.deduplicate(docs(rows[20:]), docs(rows)).collect()}
+    assert got == brute_substring(rows)
+
+
+def test_substrings_of_extreme_ids_and_other_columns(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    ends = [-(1 << 63), -(1 << 63) + 1, 0, (1 << 63) - 2, (1 << 63) - 1]
+    df = spark.createDataFrame([(i, t if k % 2 else t + f" x{k}", 1, "a", "b") for k, i in enumerate(ends)], "doc_id bigint, text string, id int, at string, k1 string")
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in substring.deduplicate(df).collect()}
+    assert out == {ends[0]: (31, 0), ends[1]: (30, 30), ends[2]: (31, 30), ends[3]: (30, 30), ends[4]: (31, 30)}
+
+
 def brute_vectors(rows):
     ok = {i: np.array(v, float) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
     ids = sorted(i for i, _ in rows)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_bits, id_filter, pack, passing, place, unpack
+from .blocks import IdFilter, block_bits, pack, unpack
 from .common import free, quoted, stored, tidy
 from .components import components
 from .tokens import U64, shingle_sets, words
@@ -288,15 +288,12 @@ def _crossing_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar enough. pairs: stored."""
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i")))
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "i"))
+    ids = stored(pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(passing(shared.value, b.column(2)))
-            if b.num_rows:
-                sets = [s.tobytes() for part in _sets(b.column(1)) for s in part]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+            sets = [s.tobytes() for part in _sets(b.column(1)) for s in part]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,8 +307,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * shared_ >= 75 * (len(x) + len(y) - shared_))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("i"), "text").select("i", "text", place(F.col("i")).alias("at"))
-    sets = rows.mapInArrow(tidy(gather), "id bigint, s binary")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("i"), "text")
+    sets = IdFilter.of(ids).passing(rows, F.col("i")).mapInArrow(tidy(gather), "id bigint, s binary")
     x, y = sets.toDF("ia", "sa"), sets.toDF("ib", "sb")
     both = pairs.join(x, F.col("a") == F.col("ia")).join(y, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
     return both.mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
@@ -343,8 +340,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the ids of ``gone``. Only rows that a bounded filter cannot rule out are joined, so most texts are not shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(gone, "doc_id"))
-    may_go = F.arrow_udf(lambda at: passing(shared.value, at), "boolean")(place(F.coalesce(F.col("doc_id"), F.lit(0))))
+    may_go = IdFilter.of(gone).may_have(F.col("doc_id"))
     cols = [F.col(quoted(c)) for c in docs.columns]
     some = docs.where(may_go).join(gone.withColumnRenamed("doc_id", free(docs, "gone_id")), F.col("doc_id") == F.col(free(docs, "gone_id")), "left_anti")
     return docs.where(~may_go).select(*cols).union(some.select(*cols))
@@ -356,7 +352,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Documents without words stay, each for itself. Where rows share an id, one row of the id that stays is kept.
     """
     found = stored(join(docs))
-    gone = found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct()
+    gone = stored(found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct())
     left = _without(docs, gone)
     repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
