@@ -227,6 +227,13 @@ def test_vectors_equal_brute_force(spark, monkeypatch, shard):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]), (None, [1.0, 0.0]), (5, [-1.0, 0.01])]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id bigint, embedding array<double>, key int, component_id string")
+    out = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert out == [(0, 0, 0, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False)]
+
+
 def unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 

@@ -16,7 +16,7 @@
    from the medoid: greedy, with a beam; from what it finds within the range the search expands over the
    neighbours of hits until it finds no more.
 6. Hits are verified in double precision: cosine >= 0.9. A pair counts in the
-   first shard that holds both, so counts add up without listing pairs. Of the
+   first shard that holds both, for both its ends, whichever of them found it, so counts add up without listing pairs. Of the
    links a shard keeps a spanning forest; components come from the forests.
 7. Vectors drawn by a hash are compared with all rows by brute force, ``AUDIT``
    at first and more until ``LINKED`` of them have links; then the same outside
@@ -27,8 +27,10 @@
 
 Vectors that are null, zero or hold null or non-finite components link with
 nothing; vectors of other dimensions link only with their like. Equal vectors
-link with one another. Rows that share an id count as further vectors of that
-id. A null id gets a null component. An empty table gives an empty one.
+link with one another. Rows that share an id count as further vectors of that id:
+each row has its own vector's links, and their components are one. A null id gets
+a null component. Other columns are not looked at, whatever their names. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -301,22 +303,21 @@ def _expand(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, start: np.nda
     return np.concatenate(hits)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Which of the links join what was not yet joined."""
-    root, keep = list(range(n)), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        i, j = find(i), find(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            keep.append(k)
-    return keep
+def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a symmetric matrix that join each of its pieces without a ring."""
+    left, a, b = np.ones(len(links), bool), [], []
+    for begin in range(len(links)):
+        open_ = [begin] if left[begin] else []
+        left[begin] = False
+        while open_:
+            i = open_.pop()
+            new = np.flatnonzero(links[i] & left)
+            left[new] = False
+            open_ += new.tolist()
+            a.append(np.full(len(new), i))
+            b.append(new)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _graph(shards: DataFrame) -> DataFrame:
@@ -348,29 +349,27 @@ def _found(shards: DataFrame, graph: DataFrame | None) -> DataFrame:
             at = np.minimum(np.searchsorted(ids, g), len(ids) - 1)
             lists.append(at[ids[at] == g])
         cells = np.stack(cells)
-        total, left, right = np.zeros(len(ids), np.int64), [], []
+        links = np.zeros((len(ids), len(ids)), bool)
         for i, hits in compare(x) if exact else search(x, lists, counts):
-            hits = hits[hits != i]
-            if not len(hits):
-                continue
+            links[i, hits] = True
+        links |= links.T  # what either end finds both have
+        np.fill_diagonal(links, False)
+        total = np.zeros(len(ids), np.int64)
+        for i in np.flatnonzero(links.any(axis=1)):
+            hits = np.flatnonzero(links[i])
             # A pair counts in the first cell that has both, and there in the shard of their two parts.
             both = (cells[hits][:, :, None] == cells[i][None, None, :]).any(axis=2)
             first = np.where(both, cells[hits], np.iinfo(np.int32).max).min(axis=1)
             parts = np.minimum(part[hits], part[i]), np.maximum(part[hits], part[i])
             own = (first == cell) & (((parts[0] == px) & (parts[1] == py)) if px != py else ((parts[0] == px) & (parts[1] == px)))
             total[i] = counts[hits[own]].sum()
-            hits = hits[hits > i]
-            left.append(np.full(len(hits), i))
-            right.append(hits)
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        keep = _forest(len(ids), a, b)
+        a, b = _forest(links)
         some = np.flatnonzero(total)
         return pa.table(
             {
-                "a": pa.array(np.concatenate([ids[some], ids[a[keep]]]), pa.int64()),
-                "b": pa.array([None] * len(some) + ids[b[keep]].tolist(), pa.int64()),
-                "n": pa.array(np.concatenate([total[some], np.zeros(len(keep), np.int64)]), pa.int64()),
+                "a": pa.array(np.concatenate([ids[some], ids[a]]), pa.int64()),
+                "b": pa.array([None] * len(some) + ids[b].tolist(), pa.int64()),
+                "n": pa.array(np.concatenate([total[some], np.zeros(len(a), np.int64)]), pa.int64()),
             }
         )
 
@@ -446,33 +445,36 @@ def near_duplicates(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """vec_id, n_links, component_id and kept of each vector."""
     rows = stored(_classes(vectors))
     usable = rows.where("key is not null and vec_id is not null")
-    classes = usable.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    firsts = usable.groupBy("key").agg(F.first("v").alias("v"), F.first("dim").alias("dim")).withColumnRenamed("key", "k")
-    reps = stored(classes.join(firsts, F.col("key") == F.col("k")).select("id", "n", "dim", "v", "key"))
-    # An id that several different vectors have stands for each of them; their smallest copy gives the class its id.
+    classes = usable.groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("dim").alias("dim"))
+    # A class has a number of its own: an id that several different vectors have stands for each of them.
+    reps = stored(classes.withColumn("id", F.monotonically_increasing_id()))
+    named = usable.select("vec_id", "key").join(reps.select(F.col("key").alias("k"), "id"), F.col("key") == F.col("k")).groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+    shared = stored(named.where("a < z").select("vec_id", F.col("a").alias("b")))
+    same = usable.join(shared, "vec_id").join(reps.select(F.col("key").alias("k"), F.col("id").alias("a")), F.col("key") == F.col("k")).select("a", "b").where("a <> b")
     centres = {}
     for d, size in sorted((r["dim"], r["count"]) for r in reps.groupBy("dim").count().collect()):
         cells = max(1, min(CELLS_MOST, -(-size * overlap // CELL)))
-        sample = reps.where(F.col("dim") == d).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(min(SAMPLE, PER_CELL * cells)).select("v").toArrow()
+        sample = reps.where(F.col("dim") == d).orderBy(F.xxhash64("key", F.lit(2)), "id").limit(min(SAMPLE, PER_CELL * cells)).select("v").toArrow()
         x = _matrix(sample.column("v"))
         centres[d] = centroids(x, min(cells, len(x)))
     while True:
         shards = stored(_sharded(_assigned(reps, centres, overlap)))
         found = stored(_found(shards, _graph(shards)))
-        comps = components(found.where("b is not null"))
+        comps = components(found.where("b is not null").select("a", "b").union(same))
         if min(a.recall for a in audit(reps, found, comps)) >= RECALL:
             break
         if overlap >= min(4 * OVERLAP, max(map(len, centres.values()), default=0)):
             # One cell a dimension: every two parts of all vectors are a shard, so that no pair is left out.
             log.warning("links are missing at overlap %d: comparing all pairs", overlap)
             found = stored(_found(_sharded(_assigned(reps, {d: c[:1] for d, c in centres.items()}, 1)), None))
-            comps = components(found.where("b is not null"))
+            comps = components(found.where("b is not null").select("a", "b").union(same))
             break
         overlap *= 2
-    comps = comps.select(F.col("id").alias("c"), "component_id")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("m"))
-    known = reps.select("id", "n", F.col("key").alias("k")).join(comps, F.col("id") == F.col("c"), "left").join(counts, F.col("id") == F.col("a"), "left")
-    known = known.select("k", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    placed = reps.select("id", "key", "n", "least").join(comps.select(F.col("id").alias("c"), F.col("component_id").alias("root")), F.col("id") == F.col("c"), "left").withColumn("root", F.coalesce("root", "id"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    known = placed.join(least, F.col("root") == F.col("r")).join(counts, F.col("id") == F.col("a"), "left")
+    known = known.select(F.col("key").alias("k"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), "component_id")
     out = rows.join(known, F.when(F.col("vec_id").isNotNull(), F.col("key")) == F.col("k"), "left")
     component = F.coalesce("component_id", "vec_id").alias("component_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component, F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
