@@ -70,12 +70,26 @@ def test_jaccard_equals_brute_force(docs, monkeypatch, seed, hot):
     assert out == brute_jaccard(rows)
 
 
-def test_jaccard_bounds_its_broadcast(docs, monkeypatch):
+def test_jaccard_beyond_its_broadcast(docs, monkeypatch):
+    """Hot columns that may not be broadcast are looked up by a join: nothing else changes."""
     monkeypatch.setattr(jaccard, "HOT_LEAST", 1)
-    monkeypatch.setattr(jaccard, "HOT_MOST", 50)
     rows = near_copies(4)
-    fp, n = jaccard._hot_columns(docs(rows), 8)
-    assert len(fp) <= 50
+    every = jaccard._hot_columns(docs(rows), 8)
+    kept = {r.id: (r.n, r.cold, r.hot) for r in jaccard._kept_columns(docs(rows), 8, every).collect()}
+    monkeypatch.setattr(jaccard, "HOT_MOST", 50)
+    some = jaccard._hot_columns(docs(rows), 8)
+    assert len(some.fp) <= 50 and len(some.fp) + some.others.count() == len(every.fp)
+    assert {r.id: (r.n, r.cold, r.hot) for r in jaccard._kept_columns(docs(rows), 8, some).collect()} == kept
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(rows)).collect()} == brute_jaccard(rows)
+
+
+def test_jaccard_columns_of_thousands_of_documents(docs, monkeypatch):
+    """One passage in all texts, in growing shares: most stay apart, those of nearly equal words link."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(80)]
+    texts = [" ".join([f"u{rng.randrange(10**9)}" for _ in range(rng.randint(0, 60))] + passage[: rng.choice([80, 60, 30])]) for _ in range(600)]
+    monkeypatch.setattr(jaccard, "HOT_MOST", 20)
+    rows = list(enumerate(texts))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(rows)).collect()} == brute_jaccard(rows)
 
 
@@ -83,6 +97,8 @@ def test_jaccard_edges(docs):
     assert jaccard.join(docs([])).collect() == []
     out = jaccard.join(docs([(1, None), (2, "a b"), (None, "a b"), (2, "a b")])).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in out) == [(0, 0, 1), (1, 1, 0), (2, 2, 1), (2, 2, 1)]
+    clashing = docs([(1, "a b"), (2, "a  b")]).selectExpr("doc_id", "text", "doc_id AS id", "1 AS n", "2 AS fp", "3 AS i", "'x' AS component_id")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.join(clashing).collect()) == [(1, 1), (2, 1)]
     df = docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "other words"), (5, "other words")]).withColumnRenamed("lang", "component_id")
     kept = jaccard.deduplicated(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]

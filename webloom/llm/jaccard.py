@@ -4,8 +4,9 @@ Documents are sets of distinct shingles of five words; two link when 100 x
 intersection >= 75 x union. Steps:
 
 1. Columns of the incidence matrix are counted over all documents, in blocks by
-   hash. Columns with more than ``HOT_LEAST`` documents (more, if there are over
-   ``HOT_MOST`` of them) are hot; this bounds the broadcast list of hot columns.
+   hash. Columns with more than ``HOT_LEAST`` documents are hot. The ``HOT_MOST`` or
+   fewer most frequent of them are broadcast; if there are others, rows get the
+   counts of theirs by a join in blocks instead, with the same result.
 2. Documents with equal sets form a class; its smallest id stands for it.
 3. A row keeps only the columns that a partner must share one of: of its n
    columns, ordered by (count if hot, hash), the first n - ceil(0.75 n) + 1.
@@ -22,33 +23,41 @@ intersection >= 75 x union. Steps:
    be. So no link between components is lost. Pairs that share a cold column are
    in the product of step 4 already; for the others, the first column they share
    is hot, and at its ranks in both rows enough columns must be left for the
-   overlap that their sizes ask for. Where this fails a pair is not formed.
+   overlap that their sizes ask for. From its rank a row knows which sizes can be
+   enough, and it meets only rows in the buckets of those sizes.
 6. Pairs that are left are verified on the whole sets.
 
 Null and empty texts and texts without words have an empty set and link with
 nothing; fewer than five words are one shingle. Documents of equal text are one
 class. Rows that share an id are taken as one document; a null id gets a null
-component. An empty table gives an empty one.
+component. Other columns are not looked at, whatever their names. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import IdFilter, block_bits, pack, unpack
 from .common import free, quoted, stored, tidy
 from .components import components
-from .tokens import U64, shingle_sets, words
+from .tokens import U64, mix, shingle_sets, words
 
 SIZE = 5
 HOT_LEAST = 20
 HOT_MOST = 1 << 20
+#: Parts that the rows of a hot column are dealt to when they meet its pivot.
+SALTS = 16
+#: Sizes in a bucket differ by at most this factor.
+STEP = 1.05
 #: Columns that are handled at once, per task.
 BUFFER = 1 << 19
 
@@ -107,10 +116,16 @@ def _column_counts(docs: DataFrame, bits: int) -> DataFrame:
     return rows.groupBy("block").applyInArrow(add, "fp bigint, n bigint")
 
 
-def _hot_columns(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hot columns, sorted, and their counts: at most HOT_MOST of them."""
-    counts = stored(_column_counts(docs, bits))
-    least = HOT_LEAST
+class Hot(NamedTuple):
+    """The most frequent hot columns, sorted, at most HOT_MOST; their counts; a table (fp, n) of the other hot ones, if any."""
+
+    fp: np.ndarray
+    n: np.ndarray
+    others: DataFrame | None
+
+
+def _hot_columns(docs: DataFrame, bits: int) -> Hot:
+    counts, least, others = stored(_column_counts(docs, bits)), HOT_LEAST, None
     if counts.count() > HOT_MOST:
         level = F.floor(F.log2("n") * 8)
         steps = sorted(((r["l"], r["c"]) for r in counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
@@ -119,12 +134,73 @@ def _hot_columns(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
             if held + c > HOT_MOST:
                 break
             held, lowest = held + c, l
-        counts = counts.where(level >= lowest)
-        least = int(2 ** (lowest / 8)) - 1
+        counts, others = counts.where(level >= lowest), counts.where(level < lowest)
     t = counts.where(F.col("n") > least).toArrow()
     fp, n = t.column("fp").to_numpy().astype(np.uint64), t.column("n").to_numpy()
     order = np.argsort(fp)
-    return fp[order], n[order]
+    return Hot(fp[order], n[order], others)
+
+
+def _counts_of(fp: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The count of each column in a sorted list, 0 for others."""
+    if not len(known):
+        return np.zeros(len(fp), np.int64)
+    at = np.minimum(np.searchsorted(known, fp), len(known) - 1)
+    return np.where(known[at] == fp, n[at], 0)
+
+
+def _looked_up(docs: DataFrame, bits: int, hot: Hot, shared: Broadcast) -> DataFrame:
+    """(i, fps, ns): the columns of each document that ``hot.others`` has, with their counts.
+
+    Each block of columns meets the same block of hot ones; none of these is among the most frequent, so no block is held up by one column.
+    """
+    shift = U64(64 - bits - 32)
+
+    def flush(ids: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        fp = np.concatenate(parts)
+        yield pack((fp >> U64(32)).astype(np.int64), {"low": (fp & U64(0xFFFFFFFF)).astype(np.uint32), "ids": np.repeat(np.array(ids, np.int64), [len(p) for p in parts])})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, held = [], [], 0
+        for b in batches:
+            column, at = b.column(0).to_pylist(), 0
+            for sets in _sets(b.column(1)):
+                for x in sets:
+                    x = x >> shift
+                    x = x[_counts_of(x, *shared.value) == 0]
+                    if len(x):
+                        ids.append(column[at])
+                        parts.append(x)
+                        held += len(x)
+                    at += 1
+                if held >= BUFFER:
+                    yield from flush(ids, parts)
+                    ids, parts, held = [], [], 0
+        if parts:
+            yield from flush(ids, parts)
+
+    def meet(key: tuple[pa.Scalar, ...], entries: pa.Table, listed: pa.Table) -> pa.Table:
+        low, ids = unpack(entries, "low", np.uint32), unpack(entries, "ids", np.int64)
+        fp = low.astype(np.int64) | (key[0].as_py() << 32)
+        order = np.argsort(listed.column("fp").to_numpy())
+        n = _counts_of(fp, listed.column("fp").to_numpy()[order], listed.column("n").to_numpy()[order])
+        some = n > 0
+        place = (mix(ids[some].view(U64)) >> U64(64 - bits)).astype(np.int64)
+        return pa.Table.from_batches([pack(place, {"ids": ids[some], "fps": fp[some], "ns": n[some]})])
+
+    def gather(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        ids, fps, ns = (unpack(t, c, np.int64) for c in ("ids", "fps", "ns"))
+        order = np.lexsort((fps, ids))
+        ids, fps, ns = ids[order], fps[order], ns[order]
+        cut = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else [], len(ids)).astype(np.int64)
+        rows = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.table({"i": pa.array(ids[cut[:-1]], pa.int64()), "fps": rows(fps), "ns": rows(ns)})
+
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
+    dealt = known.mapInArrow(tidy(deal), "block int, low binary, ids binary")
+    listed = hot.others.select(F.shiftright("fp", 32).cast("int").alias("block"), "fp", "n")
+    met = dealt.groupBy("block").cogroup(listed.groupBy("block")).applyInArrow(meet, "block int, ids binary, fps binary, ns binary")
+    return met.groupBy("block").applyInArrow(gather, "i bigint, fps binary, ns binary")
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -142,25 +218,26 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(work), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
 
 
-def _kept_columns(docs: DataFrame, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _kept_columns(docs: DataFrame, bits: int, hot: Hot) -> DataFrame:
     """For each class its id, size, kept cold columns and kept hot columns."""
-    shift, shared = U64(64 - bits - 32), docs.sparkSession.sparkContext.broadcast(hot)
+    shift, shared = U64(64 - bits - 32), docs.sparkSession.sparkContext.broadcast((hot.fp, hot.n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_fp, hot_n = shared.value
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
+            own = [[np.frombuffer(x or b"", np.int64) for x in c.to_pylist()] for c in b.columns[2:]]
             at = 0
             for sets in _sets(b.column(1)):
                 every = np.concatenate(sets) >> shift
-                place = np.minimum(np.searchsorted(hot_fp, every), max(0, len(hot_fp) - 1))
-                n_of = np.where(hot_fp[place] == every, hot_n[place], 0) if len(hot_fp) else np.zeros(len(every), np.int64)
+                n_of = _counts_of(every, *shared.value)
                 end = 0
                 for s in sets:
                     begin, end = end, end + len(s)
                     if len(s) and ids[at] is not None:
                         keep = len(s) - int(least_shared(np.int64(len(s)))) + 1
                         n, fp = n_of[begin:end], every[begin:end]
+                        if own:
+                            n = n + _counts_of(fp, own[0][at].view(U64), own[1][at])
                         order = np.argsort(n, kind="stable")[:keep] if n.any() else slice(0, keep)
                         n, fp = n[order], fp[order]
                         k = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
@@ -170,7 +247,10 @@ def _kept_columns(docs: DataFrame, bits: int, hot: tuple[np.ndarray, np.ndarray]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["k1", "k2", "id", "n", "cold", "hot"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(work), "k1 bigint, k2 bigint, id bigint, n bigint, cold binary, hot binary")
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
+    if hot.others is not None:
+        known = known.join(stored(_looked_up(docs, bits, hot, shared)), F.col("doc") == F.col("i"), "left").drop("i")
+    rows = known.mapInArrow(tidy(work), "k1 bigint, k2 bigint, id bigint, n bigint, cold binary, hot binary")
     return rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "cold", "hot")).alias("c")).select("c.*")
 
 
@@ -266,24 +346,39 @@ def _pivot_pairs(rows: DataFrame) -> DataFrame:
     """Each row of a hot column with that of its rows that has the smallest share of cold columns."""
     rank = F.floor(F.col("cold") * 1000 / F.col("n"))
     pivots = rows.groupBy("fp").agg(F.min(F.struct(rank.alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("p"), F.col("n").alias("m"))).alias("p"))
-    pivots = pivots.select(F.col("fp").alias("f"), "p.p", "p.m")
+    # a pivot goes to each part of its column's rows, so rows of a column that a third of all rows have are not one task
+    pivots = pivots.select(F.col("fp").alias("f"), "p.p", "p.m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     fits = 100 * F.least("n", "m") >= 75 * F.greatest("n", "m")
-    met = rows.join(pivots, F.col("fp") == F.col("f")).where((F.col("id") != F.col("p")) & fits & (F.col("n") - F.col("cold") >= _needed(F.col("n"), F.col("m"))))
+    met = rows.withColumn("own", part).join(pivots, (F.col("fp") == F.col("f")) & (F.col("own") == F.col("part")))
+    met = met.where((F.col("id") != F.col("p")) & fits & (F.col("n") - F.col("cold") >= _needed(F.col("n"), F.col("m"))))
     return met.select(*_ordered(F.col("id"), F.col("p"))).distinct()
 
 
+def _bucket(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(STEP)))
+
+
 def _crossing_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of rows of a hot column in different components that may be similar; found: (id, component_id)."""
+    """Pairs of rows of a hot column in different components that may be similar; found: (id, component_id).
+
+    The larger of two rows looks for the smaller one, in the buckets of the sizes that
+    its rank leaves: from 3/4 of its own to where the columns left would no longer be
+    enough. Rows of a column's largest component meet only rows outside it.
+    """
     found = found.select(F.col("id").alias("i"), "component_id")
     known = rows.join(found, F.col("id") == F.col("i"), "left").select("fp", "id", "n", "left", F.coalesce("component_id", "id").alias("comp"))
     sizes = known.groupBy("fp", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("fp").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("fp").alias("f"), F.col("m.comp").alias("main"))
-    split = known.join(main, F.col("fp") == F.col("f")).select("fp", "id", "n", "left", "comp", "main")
-    away = split.where("comp <> main").select(F.col("fp").alias("f"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("left").alias("l"), F.col("comp").alias("q"))
+    split = stored(known.join(main, F.col("fp") == F.col("f")).select("fp", "id", "n", "left", "comp", (F.col("comp") != F.col("main")).alias("away")))
+    least, most = F.ceil(3 * F.col("n") / 4), F.least(F.col("n"), F.floor(7 * (F.col("left") + 1) / 3) - F.col("n"))
+    asking = split.withColumn("least", least).withColumn("most", most).where("most >= least")
+    asking = asking.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("least")), _bucket(F.col("most")))))
+    asked = split.select(F.col("fp").alias("f"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("left").alias("l"), F.col("comp").alias("q"), F.col("away").alias("out"), _bucket(F.col("n")).alias("at"))
     enough = F.least("left", "l") + 1 >= _needed(F.col("n"), F.col("m"))
-    once = (F.col("q") == F.col("main")) | (F.col("comp") == F.col("main")) | (F.col("id") < F.col("p"))
-    met = split.join(away, (F.col("fp") == F.col("f")) & (F.col("comp") != F.col("q")) & enough & once)
-    return met.select(*_ordered(F.col("id"), F.col("p"))).distinct()
+    meets = (F.col("fp") == F.col("f")) & (F.col("bucket") == F.col("at")) & (F.col("comp") != F.col("q")) & F.col("m").between(F.col("least"), F.col("most")) & enough
+    met = asking.where("away").join(asked, meets).select(*_ordered(F.col("id"), F.col("p")))
+    return met.union(asking.where("NOT away").join(asked.where("out"), meets).select(*_ordered(F.col("id"), F.col("p")))).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
