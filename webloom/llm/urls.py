@@ -1,6 +1,6 @@
 """URL filtering with a bit-parallel wildcard automaton.
 
-Glob rules over the canonical URL (host, lower-cased, then path) are packed into
+Glob rules over the canonical URL (host, then path, a border between them) are packed into
 one Shift-And automaton of as many 64-bit words as all rules need: a bit for
 each literal position of each rule, a loop mask for positions that a ``*``
 precedes, and a mask per byte value. One pass over a URL's bytes moves all rules
@@ -9,10 +9,14 @@ a long URL costs steps of its own only.
 
 Verdicts: of the list rules (host, path prefix) that fit, the longest decides.
 A list rule fits its host and all its subdomains. Where none fits, glob rules
-decide: block if any block glob fits and no allow glob does.
+decide: block if any block glob fits and no allow glob does. They see the
+canonical form: the host without credentials, port and last dot, the path with
+unreserved escapes decoded and dot segments resolved. What a glob has before its
+first slash, if it is more than stars, must end where the host ends.
 
 Null URLs and those without ``://`` have an empty host and path and are allowed
-unless a glob fits the empty string. Repeated rows give repeated results.
+unless a glob fits the empty string. Repeated rows give repeated results, an
+empty table an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -144,20 +148,62 @@ def _list_globs(rules) -> list[str]:
     return [g for r in bordered for g in (r + "*", "*." + r + "*")]
 
 
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
+_UNRESERVED = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+
+
+def _decoded(m: re.Match) -> str:
+    c = chr(int(m.group(1), 16))
+    return c if c in _UNRESERVED else m.group().upper()
+
+
+def canonical(host: str, path: str) -> tuple[str, str]:
+    """The host and path that a URL's writing stands for."""
+    host = _ESCAPE.sub(_decoded, host.rpartition("@")[2]).translate(_LOWER)
+    host = re.sub(r":[0-9]*\Z", "", host).rstrip(".")
+    path = _ESCAPE.sub(_decoded, path)
+    if "/." in path:
+        out: list[str] = []
+        parts = path.split("/")[1:]
+        for i, p in enumerate(parts):
+            if p in (".", ".."):
+                if p == ".." and out:
+                    out.pop()
+                if i == len(parts) - 1:
+                    out.append("")
+            else:
+                out.append(p)
+        path = "/" + "/".join(out)
+    return host, path
+
+
+def _bordered(host: str, path: str) -> bytes:
+    return (host.replace(BORDER, "%00") + BORDER + path.replace(BORDER, "%00")).encode()
+
+
+def _own_globs(globs) -> list[str]:
+    """The globs with a border where their host ends."""
+    out = []
+    for _, g in globs:
+        host, slash, path = g.partition("/")
+        out.append(f"{host}{BORDER}/{path}" if slash and host.strip("*") else g)
+    return out
+
+
 def judge(pages: DataFrame, rules=LIST_RULES, globs=GLOBS, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """page_id, host, path, rule and verdict of each page."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, wild = Automaton.of(_list_globs(rules)), Automaton.of([g for _, g in globs])
+        listed, wild = Automaton.of(_list_globs(rules)), Automaton.of(_own_globs(globs))
         rising = sorted(range(len(rules)), key=lambda i: len(rules[i][1]))  # the longest comes last and stays
         allow = np.array([v == "allow" for v, _ in globs], bool)
         for b in batches:
             parts = [split_url(u) for u in b.column(1).to_pylist()]
-            hits = listed.match([(h.replace(BORDER, "%00") + BORDER + p.replace(BORDER, "%00")).encode() for h, p in parts])
+            hits = listed.match([_bordered(h, p) for h, p in parts])
             best = np.full(len(parts), -1)
             for i in rising:
                 best[hits[:, 2 * i] | hits[:, 2 * i + 1]] = i
-            own = wild.match([(h + p).encode() for h, p in parts])
+            own = wild.match([_bordered(*canonical(h, p)) if h or p else b"" for h, p in parts])
             blocked = own[:, ~allow].any(axis=1) & ~own[:, allow].any(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -188,12 +234,13 @@ WITH u AS (
     WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
     WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
     WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/'
-  END AS rule, host || path AS c FROM p
+  END AS rule, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS c FROM p
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN (c LIKE '%cheap-pills.%' OR c LIKE '%casino%' OR c LIKE 'ads.%' OR c LIKE '%.ads.%/%' OR c LIKE '%/track/%') AND NOT c LIKE '%.edu/%' THEN 'block'
+    WHEN (c LIKE '%cheap-pills.%' OR path LIKE '%cheap-pills.%' OR c LIKE '%casino%' OR path LIKE '%casino%' OR c LIKE 'ads.%' OR (c LIKE '%.ads.%' AND path LIKE '/%') OR path LIKE '%/track/%')
+      AND NOT (c LIKE '%.edu' AND path LIKE '/%') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """
