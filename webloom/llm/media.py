@@ -117,9 +117,11 @@ class Stream:
     samples: int = 0
     good: int = 0  # protected frames whose checksum holds
     bad: int = 0
+    unchecked: int = 0  # protected frames of layers I and II, whose checksums cover parts that are not decoded here
     skipped: int = 0  # bytes passed over to find the next frame
     id3: int = 0
     table: str = ""  # xing, vbri or empty
+    table_damaged: bool = False  # by the checksum of its frame
     table_frames: int = -1
     table_bytes: int = -1
     seek: bytes = b""
@@ -151,6 +153,9 @@ def parse(data: bytes) -> Stream:
             continue
         s.head = s.head or h
         if not offsets and not s.table and _table(data, at, h, s):
+            own = Stream()
+            _verify(data, at, 1, h, own)
+            s.table_damaged = own.bad > 0
             at += h.length
             continue
         n = max(1, _frames_like(data[:end] if end != len(data) else data, at, h))
@@ -188,7 +193,10 @@ def _table(data: bytes, at: int, h: Header, s: Stream) -> bool:
 
 def _verify(data: bytes, at: int, n: int, h: Header, s: Stream) -> None:
     """Layer III checksums cover the last two header bytes and the side information; equal ones are computed once."""
-    if not h.protected or h.layer != 3 or h.length < 6 + h.side:
+    if not h.protected:
+        return
+    if h.layer != 3 or h.length < 6 + h.side:
+        s.unchecked += n
         return
     view = np.frombuffer(data, np.uint8, n * h.length, at).reshape(n, h.length)[:, 2 : 6 + h.side]
     same = (view == view[0]).all(axis=1)
