@@ -6,12 +6,14 @@ lower-cased and hashed to ``2 ** BITS`` coordinates. FTRL-proximal has a learnin
 L1 term that leaves most weights exactly zero; only the others are broadcast
 (at most 2 ** BITS, in practice some thousands).
 
-Training uses at most about ``SAMPLE`` labelled rows, chosen by a hash of their
-id, in one task; the bound is documented and does not grow with the corpus.
+Training uses at most about ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of their
+features, chosen by a hash of their id, in one task; both bounds are documented and
+do not grow with the corpus. A row with more features than a 64th of that is not
+learnt from (it is scored as a whole like any other). Ids may be of any type.
 Labels of a document given twice: the larger counts; null labels count for
 nothing. Without labels every score is 0.5 to the prior's side (logistic of the
 bias alone). Null and empty texts are scored by the bias. Repeated rows give
-repeated results.
+repeated results, an empty table an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import stored, tidy
 from .quality import fold
 from .tokens import LETTERS_ONLY, U64, Words, mix, starts_of, words
 
 BITS = 20
 SAMPLE = 20_000
+SAMPLE_BYTES = 256 << 20
 EPOCHS = 4
 #: Beginnings of words, in bytes, that count as their stems: forms of a word that training did not show are known by them.
 STEMS = (4, 5, 6)
@@ -95,22 +98,27 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     known = labels.where(F.col(label).isNotNull() & (F.lit(True) if usable is None else usable)).groupBy("doc_id").agg(F.max(label).alias("y"))
     share = sample / max(1, known.count())
-    place = F.xxhash64(F.col("doc_id"), F.lit(5))
-    chosen = known.where(place < int(min(1.0, share) * 2.0**64 - 2.0**63)) if share < 1 else known
+    known = known.withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(5)))
+    bound = lambda part: int(min(1.0, part) * 2.0**64 - 2.0**63)
+    chosen = known.where(F.col("place") < bound(share)) if share < 1 else known
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(features(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array([x.tobytes() for x in got], pa.binary())], names=["place", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(i, y, np.frombuffer(x, np.int32)) for b in batches for i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        rows.sort(key=lambda r: (int(mix(np.array([r[0] or 0]).astype(np.int64).view(U64))[0]), r[1]))
+        rows.sort(key=lambda r: (int(mix(np.array([r[0]], np.int64).view(U64))[0]), r[1]))
         i, w = train([(x, int(y > 0)) for _, y, x in rows])
         yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["i", "w"])
 
-    # chosen has at most about SAMPLE rows of two numbers, whatever the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(tidy(gather), "doc_id bigint, y int, x binary")
+    # chosen has at most about SAMPLE rows of three numbers, whatever the corpus
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "text", "y").mapInArrow(tidy(gather), "place bigint, y int, x binary")
+    rows = stored(rows).where(F.octet_length("x") <= SAMPLE_BYTES // 64)
+    size = rows.agg(F.sum(F.octet_length("x").cast("bigint"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        rows = rows.where(F.xxhash64("place") < bound(SAMPLE_BYTES / size))
     got = rows.repartition(1).mapInArrow(tidy(learn), "i binary, w binary").collect()
     if not got:
         return np.zeros(0, np.int64), np.zeros(0)
