@@ -14,14 +14,17 @@ gets the lesser of its cap and weight x level. Taking sources by cap / weight,
 the level is the largest value of (words not yet given) / (weights not yet
 served).
 
-No source is ever one task: keys fall into buckets of some thousands of
-documents by a monotone function of the key, prefix sums within a bucket are
-added to those of the buckets before it, and only sums per bucket and per source
-meet in one place.
+No source is ever one task: keys fall into cells by the logarithm of the key,
+cells are counted, and between the counts of its cell a key finds its quantile, so
+whatever the weights every bucket of quantiles has about ``BUCKET_ROWS`` documents.
+Prefix sums within a bucket are added to those of the buckets before it. Sources
+are put in order in parts too, so that they may be as many as hosts.
 
 Null texts have no words and nothing taken. Null ids, repeated rows and equal
 keys are ordered by id and a hash of the text; rows alike in both are
-interchangeable. An empty table gives an empty one.
+interchangeable. Rows of one id (and all rows without one) have one key, so within
+a source they are one bucket. Columns with names used here do no harm. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SEED = "mix-1"
-BUCKET_ROWS = 20_000
-LEAST_BUCKETS = 64
+BUCKET_ROWS = 4_000
+#: Cells of keys for each factor of two.
+CELLS = 32
 
 
 def n_words(text: Column) -> Column:
@@ -55,21 +59,48 @@ def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
     return -F.log(u) / weight
 
 
-def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """``totals`` (source, source_size, n_docs; one row a source) with the column ``target``.
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df``, stored, with the sums over the rows that come before in a total order.
 
-    The windows over all sources see one small row for each of them.
+    Rows are dealt out by ranges of the order; within a part a window adds them up, and the
+    sums of whole parts, of which there are as many as shuffle partitions, are added before.
     """
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights)).cast("int") + 1)
-    df = totals.select("*", order.alias("o"), weight.alias("w")).select("*", (F.lit(float(cap)) * F.col("source_size")).alias("most"))
-    rising = Window.orderBy(F.col("most") / F.col("w"), F.col("o"))
-    every = Window.partitionBy()
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    still = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = df.select("*", (rest / still).alias("l"))
-    return level.select("source", "source_size", "n_docs", F.least(F.col("most"), F.max("l").over(every) * F.col("w")).alias("target"))
+    part, at, keys = free(df, "part"), free(df, "at"), [free(df, f"key{i}") for i in range(len(order))]
+    dealt = df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True)), *(v.alias(free(df, "of_" + n)) for n, v in sums.items()))
+    placed = stored(dealt.repartitionByRange(*(F.col(k).asc_nulls_last() for k in keys)).withColumn(part, F.spark_partition_id()))
+    own = {n: F.col(free(df, "of_" + n)) for n in sums}
+    ahead = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(F.col(part).alias(at)).agg(*(F.sum(v).alias("all_" + n) for n, v in own.items()))
+    totals = totals.select(at, *(F.coalesce(F.sum("all_" + n).over(ahead), F.lit(0)).alias("before_" + n) for n in sums))
+    within = Window.partitionBy(part).orderBy(*(F.col(k).asc_nulls_last() for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(totals), F.col(part) == F.col(at))  # one row a part
+    return out.select(*(F.col(quoted(c)) for c in df.columns), *((F.col("before_" + n) + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(n) for n, v in own.items()))
+
+
+def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``totals`` (source, source_size, n_docs; one row a source) with the column ``target``."""
+    df = _running(totals, [F.col("source")], {"o": F.lit(1).cast("bigint")})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("o") % len(weights)).cast("int") + 1)
+    df = df.select("*", weight.alias("w")).select("*", (F.lit(float(cap)) * F.col("source_size")).alias("most"))
+    df = stored(_running(df, [F.col("most") / F.col("w"), F.col("o")], {"full": F.col("most"), "served": F.col("w")}))
+    words, weighed = df.agg(F.sum("source_size"), F.sum("w")).first()
+    if words is None:
+        return df.select("source", "source_size", "n_docs", F.lit(0.0).alias("target"))
+    level = (F.lit(float(words)) * F.lit(float(share)) - F.col("full")) / (F.lit(float(weighed)) - F.col("served"))
+    most = df.agg(F.max(level)).first()[0]
+    return df.select("source", "source_size", "n_docs", F.least(F.col("most"), F.lit(float(most)) * F.col("w")).alias("target"))
+
+
+def bucketed(df: DataFrame, source: str, key: str, bucket: str) -> DataFrame:
+    """``df`` with a bucket of about BUCKET_ROWS rows of a source, rising with the key: where it stands among its source's, from the counts of cells."""
+    src, place = F.col(quoted(source)), F.log2(F.greatest(F.col(quoted(key)), F.lit(1e-300))) * CELLS
+    at, own, found, n, ahead = (free(df, "mix_" + x) for x in ("cell", "cell_source", "cell_at", "cell_n", "cell_ahead"))
+    filled = df.groupBy(src.alias(own), F.floor(place).alias(found)).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(own).orderBy(found).rowsBetween(Window.unboundedPreceding, -1))
+    cells = stored(filled.withColumn(ahead, F.coalesce(before, F.lit(0))))
+    dealt = df.withColumn(at, F.floor(place)).join(cells, src.eqNullSafe(F.col(own)) & (F.col(at) == F.col(found)))
+    rank = F.col(ahead) + F.least(F.col(n) - 1, F.floor((place - F.col(at)) * F.col(n)))
+    return dealt.withColumn(bucket, F.floor(rank / BUCKET_ROWS)).drop(at, own, found, n, ahead)
 
 
 def taken(df: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", key: str = "key", tie: str = "tie", split_border: bool = True) -> DataFrame:
@@ -83,9 +114,7 @@ def taken(df: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     src, col = F.col(quoted(source)), lambda n: F.col(quoted(n))
     totals = df.groupBy(src.alias("source")).agg(F.sum(col(size)).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goals = stored(targets(totals)).select(*(F.col(n).alias(names[n]) for n in ("source", "source_size", "n_docs", "target")))
-    buckets = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(c["n_docs"] / F.lit(BUCKET_ROWS)))
-    bucket = F.least(buckets - 1, F.floor((F.lit(1.0) - F.exp(-col(key))) * buckets))
-    dealt = df.join(goals, src.eqNullSafe(c["source"])).withColumn(names["bucket"], bucket)
+    dealt = bucketed(df, source, key, names["bucket"]).join(goals, src.eqNullSafe(c["source"]))
     sums = dealt.groupBy(c["source"], c["bucket"]).agg(F.sum(col(size)).alias(names["before"]))
     earlier = Window.partitionBy(c["source"]).orderBy(c["bucket"]).rowsBetween(Window.unboundedPreceding, -1)
     at, bk = free(df, "mix_at"), free(df, "mix_bk")
