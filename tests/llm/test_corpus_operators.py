@@ -427,3 +427,74 @@ def test_pipeline(spark, tmp_path):
     assert len(ids & set(range(400)) - good) <= 3 and 400 not in ids and 401 not in ids
     assert all("@" not in r.text and r.n_chars == len(r.text) for r in got if r.text is not None)
     assert sum(r.doc_id == got[0].doc_id for r in got) <= 2
+
+
+def test_mixing_buckets_are_even(spark):
+    """Texts without spaces have small weights, so their keys crowd far from those of others; sources may be many."""
+    rows = [(i, "x" * 90 if i % 2 else "six chars words are plain here", "a" if i % 3 else f"s{i % 500}") for i in range(40_000)]
+    df = mixing.keyed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    sizes = [r["count"] for r in mixing.bucketed(df, "source", "key", "b").where("source = 'a'").groupBy("b").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    per = {}
+    for r in out:
+        x = per.setdefault(r.target, [0, r.target])
+        x[0] += r.taken
+    assert len(out) == len(rows) and abs(sum(r.taken for r in out) - 1.5 * sum(r.size for r in out)) <= 600
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(1, 200, 12)).astype(np.int32), int(rng.random() < 0.4)) for _ in range(150)]
+    z, n = {}, {}
+
+    def weight(i):
+        pull = 0.0 if i == 0 else toxicity.L1
+        if abs(z.get(i, 0.0)) <= pull:
+            return 0.0
+        return -(z[i] - (pull if z[i] > 0 else -pull)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            w = {int(i): weight(int(i)) for i in [0, *x]}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (toxicity.POSITIVE if y else 1.0)
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * wi
+                n[i] = old + g * g
+    i, w = toxicity.train(rows)
+    got = dict(zip(i.tolist(), w.tolist(), strict=True))
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_toxicity_takes_any_id(spark, kind, monkeypatch):
+    rows = [(i, "you vile fool " * (i % 3) + f"word{i} text", int(i % 3 > 0)) for i in range(60)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    plain = {r.doc_id: r.score for r in toxicity.digest(df, labels).collect()}
+    cast = lambda d: d.withColumn("doc_id", d["doc_id"].cast(kind))
+    assert {int(r.doc_id): r.held_out for r in toxicity.digest(cast(df), cast(labels)).collect()} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in plain}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)  # learns from a part
+    assert toxicity.digest(cast(df).withColumn("y", cast(df)["text"]), cast(labels)).count() == 60
+    assert toxicity.digest(df.limit(0), labels).collect() == []
+
+
+def test_quality_equals_plain_densities(spark, docs):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Plain", "words", "that", "read", "well."] if i % 2 else ["B@D", "$$$", "x9", "ZZZZ", "words"]) for _ in range(rng.randint(5, 60))) for i in range(80)]
+    df = docs(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(3, 1), (5, None)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.score for r in quality.digest(df, labels).collect()}
+    x = {r.doc_id: np.array(r.x) for r in quality.with_statistics(df, "x").collect()}
+    seen = [i for i in x if zlib.crc32(str(i).encode()) % 5]
+    part = [np.array([x[i] for i in seen if i % 2 == k]) for k in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in part]
+    pooled = sum(len(p) * c for p, c in zip(part, cov)) / len(seen)
+    scale = np.diag(np.maximum(np.diag(pooled), 1e-6))
+    shrunk = [0.88 * c + 0.1 * pooled + 0.02 * scale for c in cov]
+    for i, v in x.items():
+        d = [(v - p.mean(0)) @ np.linalg.solve(c, v - p.mean(0)) + np.linalg.slogdet(c)[1] for p, c in zip(part, shrunk)]
+        want = 1 / (1 + np.exp(-np.clip((d[0] - d[1]) / 2 + np.log(len(part[1]) / len(part[0])), -500, 500)))
+        assert abs(got[i] - want) < 1e-4

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -179,3 +180,75 @@ def test_url_rules(spark):
     assert [out[i].rule for i in (2, 3, 4, 5, 6)] == ["com/en/", "com/en/", "net/de/", "example.net/de/8", "org/es/"]
     assert [(out[i].host, out[i].path, out[i].rule, out[i].verdict) for i in (7, 8)] == [("", "", None, "allow")] * 2
     assert (out[9].rule, out[9].verdict) == (None, "block") and out[10].rule is None and (out[11].path, out[11].rule) == ("", None) and out[12].verdict == "block"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("pay GB82WEST12345698765432 BIC NWBKGB2L", [(4, 26)]),
+        ("GB82 WEST 1234 5698 7654 32 PAY NOW", [(0, 27)]),
+        ("DE89 3704 0044 0532 0130 00 GB82WEST12345698765432", [(0, 27), (28, 50)]),
+        ("GB82WEST12345698765433 GB82WEST123456987654321", []),
+        ("xGB82WEST12345698765432", []),
+    ],
+)
+def test_ibans_end_where_their_country_says(text, want):
+    assert [(a, b) for a, b, kind, _ in pii.find(text) if kind == "iban"] == want
+
+
+def test_spans_beside_clashing_columns(docs):
+    df = docs([(1, "mail a@b.cd now"), (2, None)]).withColumnRenamed("lang", "pii_spans")
+    out = pii.with_spans(df)
+    assert out.columns == [*df.columns, "pii_spans_"]
+    assert {r.doc_id: [(s.start, s.end, s.kind) for s in r.pii_spans_] for r in out.collect()} == {1: [(5, 11, "email")], 2: []}
+
+
+@pytest.mark.parametrize(
+    "url,verdict",
+    [
+        ("http://evil.com/x.edu/casino", "block"), ("http://shop.com/a.ads.b/c", "allow"), ("http://u@ads.x.com/", "block"), ("http://x.com/%63asino", "block"),
+        ("http://x.com:80/a/./track/../track/b", "block"), ("http://a.edu/casino", "allow"), ("http://www.ads.com/x", "block"), ("http://x.com/a/track/b", "block"), (None, "allow"),
+    ],
+)
+def test_globs_see_the_canonical_url(spark, url, verdict):
+    df = spark.createDataFrame([(1, url, "x")], "page_id int, url string, host string")
+    assert [r.verdict for r in urls.judge(df).collect()] == [verdict]
+    assert urls.judge(df.limit(0)).collect() == []
+
+
+def test_media_equals_frames_written_one_by_one(docs):
+    """The stored stream built byte by byte after the format's description, and the features counted from it."""
+
+    def crc(data):
+        x = 0xFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                x = (x << 1 ^ (0x8005 if (x >> 15 ^ byte >> k) & 1 else 0)) & 0xFFFF
+        return x
+
+    texts = [None, "", "short", "é" * 150, "w " * 2000, "short"]
+    got = {r.doc_id: r for r in media.digest(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b" " * ((192 - len(raw) % 192) % 192 or (192 if not raw else 0))
+        n = len(payload) // 192
+        head = bytes([0xFF, 0xFA, 0x64, 0x00])
+        lead = head + crc(head[2:] + bytes(32)).to_bytes(2, "big") + bytes(32)
+        seek = bytes(min(255, (k * n // 100 + 1) * 256 // (n + 1)) for k in range(100))
+        first = lead + b"Xing" + (7).to_bytes(4, "big") + n.to_bytes(4, "big") + ((n + 1) * 240).to_bytes(4, "big") + seek
+        tag = b"ID3\x04\x00\x00\x00\x00\x00\x11TENC\x00\x00\x00\x07\x00\x00\x03webloo"
+        stream = tag + first.ljust(240, b"\0") + b"".join((lead + payload[k * 192 : k * 192 + 192]).ljust(240, b"\0") for k in range(n))
+        offsets = np.array([len(tag) + 240 * (k + 1) for k in range(n)], "<i8")
+        seconds = __import__("fractions").Fraction(1152 * n, 48000)
+        feature = f"mpeg1-layer3;48000hz;frames={n};seconds={seconds.numerator}/{seconds.denominator};crc={n}/{n};table=xing:{n};skipped=0;seek={hashlib.sha256(offsets.tobytes()).hexdigest()[:16]}"
+        assert (got[i].media_sha256, got[i].media_bytes, got[i].feature) == (hashlib.sha256(stream).hexdigest(), len(stream), feature)
+    assert media.digest(docs([])).collect() == []
+
+
+def test_media_reports_a_damaged_table_frame_and_what_it_cannot_check():
+    whole = media.pack(b" " * 384)
+    assert not media.parse(whole).table_damaged
+    assert media.parse(whole[:35] + b"\1" + whole[36:]).table_damaged
+    frame = bytes([0xFF, 0xFC, 0x54, 0x00])  # layer II, protected
+    s = media.parse((frame + bytes(media.header(frame, 0).length - 4)) * 3)
+    assert (len(s.offsets), s.unchecked, s.good, s.bad) == (3, 3, 0, 0)
