@@ -12,7 +12,8 @@ sample and only two rows reach the driver. Labels of a document given twice:
 the larger counts; null labels count for nothing. With fewer than two labelled
 documents in either class the score is the share of label 1 (1 if there are no
 labels). Null and empty texts have statistics of zero and are scored like
-others. An empty table gives an empty one.
+others. Repeated rows give repeated results and their statistics count once for
+each row. An empty table gives an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject; columns as they were."""
     x, s = free(docs, "x"), free(docs, "score")
-    stats = stored(with_statistics(docs.select("doc_id", "text"), "x", keep=("doc_id",)))
+    full = stored(with_statistics(docs, x))  # with its texts, so that statistics are computed once
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    model = fit(stats, labels.select("doc_id", "quality"), "quality", "x", ~held)
-    return scored(with_statistics(docs, x), model, x, s).where(F.col(s) >= THRESHOLD).drop(s)
+    model = fit(full.select("doc_id", x), labels.select("doc_id", "quality"), "quality", x, ~held)
+    return scored(full, model, x, s).where(F.col(s) >= THRESHOLD).drop(s)
