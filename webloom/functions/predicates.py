@@ -6,6 +6,7 @@ import ipaddress
 import re
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +43,20 @@ CYCLE_BYTES = 2_097_152
 HREF_REJECTED = ("#", "data:", "javascript:", "mailto:", "vbscript:")
 
 
+def java_pattern(pattern: str) -> str | None:
+    """A pattern as the JVM takes it (named groups in its form), or None if it does not compile there."""
+    from pyspark.sql import SparkSession
+
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m.group(1).replace('_', '')}>", pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m.group(1).replace('_', '')}>", pattern)
+    jvm = SparkSession.active()._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return None
+    return pattern
+
+
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -77,9 +92,11 @@ def url_scope(url: Column, scope: Scope) -> Column:
     return ~any_of(url, scope.out_patterns) & inside
 
 
-def in_scope(url: Column, root: Column, scope: Scope) -> Column:
-    dns = F.lit(True) if scope.no_scope else dns_scope(urls.host(url), root, scope.field_scope)
-    return (urls.host(url) != "") & dns & url_scope(url, scope)
+def in_scope(url: Column, root: Column, scope: Scope, host: Column | None = None) -> Column:
+    """``host``: the URL's host, where it is known already."""
+    host = urls.host(url) if host is None else host
+    dns = F.lit(True) if scope.no_scope else dns_scope(host, root, scope.field_scope)
+    return (host != "") & dns & url_scope(url, scope)
 
 
 def is_private_ipv4(host: Column) -> Column:
@@ -120,15 +137,13 @@ def policy_allows(host: Column, policy: Policy, with_v6: bool = False) -> Column
     if private:
         bad = bad | is_private_ipv4(h) | h.isin("localhost", "::1") | F.endswith(h, F.lit(".localhost"))
         if with_v6:
-            bad = bad | is_private_ipv6(h)
+            bad = bad | is_private_ipv6(F.when(h.contains(":"), h))
     if deny:
         bad = bad | h.isin(*[d.lower() for d in deny])
     for d in deny:
-        try:
-            re.compile(d)
-        except re.error:
-            continue
-        bad = bad | h.rlike(d)
+        d = java_pattern(d)
+        if d is not None:
+            bad = bad | h.rlike(d)
     return ~bad
 
 

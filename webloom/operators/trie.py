@@ -9,7 +9,7 @@ values seen before a position is promoted stay as they are.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -17,33 +17,43 @@ from ..storage import stored
 
 PARAM = "{param}"
 THRESHOLD = 10
-#: Positions that set mode folds before it writes its rows: the plan doubles with each.
-ROUNDS = 4
+
+
+def _folded(df: DataFrame, wide: DataFrame, i: int) -> DataFrame:
+    """Position i of __s as a parameter below the hosts and prefixes of ``wide`` (__wh, __wp)."""
+    below = (F.col("__h") == F.col("__wh")) & (_prefix(i) == F.col("__wp")) & (F.size("__s") > i)
+    rest = F.slice("__s", i + 2, F.greatest(F.size("__s") - (i + 1), F.lit(0)))
+    done = F.when(F.col("__wh").isNotNull(), F.concat(F.slice("__s", 1, i), F.array(F.lit(PARAM)), rest)).otherwise(F.col("__s"))
+    return df.join(wide, below, "left").withColumn("__s", done).drop("__wh", "__wp")
+
+
+def _prefix(i: int) -> Column:
+    return F.array_join(F.slice("__s", 1, i), "/") if i else F.lit("")
 
 
 def with_set_mode(df: DataFrame, url: str, name: str, threshold: int = THRESHOLD) -> DataFrame:
     """``df`` with the fingerprint under which parameters are folded, in column ``name``.
 
-    Positions are folded down to the last that more than ``threshold`` rows of one host reach; no later one can be wide.
+    Children are counted over the distinct paths of each host, which are written
+    after each position that has wide ones, so that scans grow with the depth and
+    not faster; ``df`` is read once for them and once for the result, and meets only
+    the positions that are wide. Positions are folded down to the last that more than
+    ``threshold`` paths of one host reach; no later one can be wide.
     """
     u = F.col(url)
-    df = df.withColumn("__h", urls.host(u)).withColumn("__s", urls.segments(u)).withColumn("__p", F.lit(""))
-    sizes = df.groupBy("__h", F.size("__s").alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
+    df = df.withColumn("__h", urls.host(u)).withColumn("__s", urls.segments(u))
+    paths = stored(df.select("__h", "__s").distinct())
+    sizes = paths.groupBy("__h", F.size("__s").alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
     reach = sizes.withColumn("__c", F.sum("__c").over(Window.partitionBy("__h").orderBy(F.desc("__k"))))
     deepest = reach.where(F.col("__c") > threshold).agg(F.max("__k")).first()[0] or 0
     for i in range(deepest):
-        if i and i % ROUNDS == 0:
-            df = stored(df)
-        seg = F.get("__s", F.lit(i))
-        wide = df.where(seg.isNotNull()).groupBy("__h", "__p").agg(F.count_distinct(seg).alias("__n")).where(F.col("__n") > threshold)
-        wide = wide.select(F.col("__h").alias("__wh"), F.col("__p").alias("__wp"), F.lit(True).alias("__w"))
-        df = df.join(wide, (F.col("__h") == F.col("__wh")) & (F.col("__p") == F.col("__wp")), "left")
-        done = F.when(F.col("__w"), F.lit(PARAM)).otherwise(seg)
-        df = df.withColumn("__d", done)
-        rest = F.slice("__s", i + 2, F.greatest(F.size("__s") - (i + 1), F.lit(0)))
-        df = df.withColumn("__s", F.when(seg.isNotNull(), F.concat(F.slice("__s", 1, i), F.array("__d"), rest)).otherwise(F.col("__s")))
-        df = df.withColumn("__p", F.concat("__p", F.lit("/"), F.coalesce("__d", F.lit("")))).drop("__wh", "__wp", "__w", "__d")
-    return df.withColumn(name, urls.fingerprint(u, F.col("__s"))).drop("__h", "__s", "__p")
+        wide = paths.where(F.size("__s") > i).groupBy(F.col("__h").alias("__wh"), _prefix(i).alias("__wp")).agg(F.count_distinct(F.get("__s", F.lit(i))).alias("__n"))
+        wide = stored(wide.where(F.col("__n") > threshold).drop("__n"))
+        if wide.isEmpty():
+            continue
+        paths = stored(_folded(paths, wide, i).distinct())
+        df = _folded(df, wide, i)
+    return df.withColumn(name, urls.fingerprint(u, F.col("__s"))).drop("__h", "__s")
 
 
 class Trie:

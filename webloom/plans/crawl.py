@@ -33,7 +33,7 @@ class Crawled:
     rejected: DataFrame  # judged candidates that were not accepted
     visited: DataFrame  # keys used up; with `pending` enough to resume
     pending: DataFrame  # accepted but not fetched (beyond max_levels)
-    errors: DataFrame  # with display_out_scope: a row for each request that scope rejected
+    errors: DataFrame  # a row for each request beyond the depth, and with display_out_scope for each that scope rejected
 
 
 def seeds(spark: SparkSession, urls_: list[str]) -> DataFrame:
@@ -153,6 +153,8 @@ def crawl(site: DataFrame, start: DataFrame, cfg: Crawl, max_levels: int | None
 
     none = fetched(empty, site, cfg)
     away = union(rejected, funnel.judged(funnel.with_defaults(empty), cfg))
-    errors = away.where((F.col("reject_reason") == "out_of_scope") & F.lit(cfg.display_out_scope))
-    errors = errors.select("url", "method", "body", "depth", "root_hostname", "tag", "attribute", "source", F.lit("endpoint is out of scope").alias("error"))
+    reason = F.col("reject_reason")
+    errors = away.where((reason == "max_depth") | ((reason == "out_of_scope") & F.lit(cfg.display_out_scope)))
+    said = F.when(reason == "max_depth", "maximum crawl depth exceeded").otherwise("endpoint is out of scope")
+    errors = errors.select("url", "method", "body", "depth", "root_hostname", "tag", "attribute", "source", said.alias("error"))
     return Crawled(union(responses, none), union(frontiers, empty), away, union(keys, empty.select("dedup_key")), pending, errors)

@@ -85,20 +85,16 @@ class CustomField:
 
 
 def custom_fields(yaml_text: str) -> list[CustomField]:
-    """Fields of a YAML list; patterns that do not compile go, and fields that have none left."""
+    """Fields of a YAML list; patterns that the JVM, which runs them, does not compile go, and fields that have none left."""
     import yaml
 
+    from ..functions.predicates import java_pattern
+
     out = []
     for item in yaml.safe_load(yaml_text) or []:
-        good = []
-        for p in item.get("regex", []):
-            try:
-                re.compile(p)
-            except re.error:
-                continue
-            good.append(p)
+        good = tuple(p for p in map(java_pattern, item.get("regex", [])) if p is not None)
         if good:
-            out.append(CustomField(item["name"], tuple(good), item.get("part", "response"), int(item.get("group", 0))))
+            out.append(CustomField(item["name"], good, item.get("part", "response"), int(item.get("group", 0))))
     return out
 
 

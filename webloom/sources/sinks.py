@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stored
+
 
 def _without_empty(c: Column, kind: T.DataType) -> Column:
     """Null for empty texts, arrays, maps and zeros, so that JSON leaves the key out."""
@@ -68,9 +70,13 @@ def index_line(url: Column, status: Column) -> Column:
     return F.concat_ws(" ", i, status.cast("string"), url, F.concat(i, F.lit(".txt")))
 
 
+def _some(headers: Column) -> Column:
+    return F.coalesce(headers, F.create_map().cast("map<string,string>"))
+
+
 def raw_response(status: Column, headers: Column, body: Column) -> Column:
-    lines = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n")))
-    return F.concat(F.lit("HTTP/1.1 "), status.cast("string"), F.lit("\r\n"), F.array_join(lines, ""), F.lit("\r\n"), F.coalesce(body, F.lit("")))
+    lines = F.transform(F.array_sort(F.map_entries(_some(headers))), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n")))
+    return F.concat(F.lit("HTTP/1.1 "), F.coalesce(status, F.lit(0)).cast("string"), F.lit("\r\n"), F.array_join(lines, ""), F.lit("\r\n"), F.coalesce(body, F.lit("")))
 
 
 def raw_request(method: Column, url: Column, common: Column, own: Column, body: Column) -> Column:
@@ -78,16 +84,31 @@ def raw_request(method: Column, url: Column, common: Column, own: Column, body:
     from ..functions import urls
 
     target = F.concat(F.coalesce(F.nullif(urls.path(url), F.lit("")), F.lit("/")), F.when(urls.query(url).isNotNull(), F.concat(F.lit("?"), urls.query(url))).otherwise(""))
+    common, own = _some(common), _some(own)
     kept = F.map_filter(common, lambda k, v: ~F.array_contains(F.map_keys(own), k))
     line = lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n"))
     both = F.concat(F.array_join(F.transform(F.array_sort(F.map_entries(kept)), line), ""), F.array_join(F.transform(F.array_sort(F.map_entries(own)), line), ""))
     return F.concat(F.coalesce(F.nullif(method, F.lit("")), F.lit("GET")), F.lit(" "), target, F.lit(" HTTP/1.1\r\nHost: "), urls.authority(url), F.lit("\r\n"), both, F.lit("\r\n"), F.coalesce(body, F.lit("")))
 
 
-def store_responses(df: DataFrame, folder: str) -> None:
-    """One row of wire text for each URL (the last given stays) and an index, as tables."""
-    i = response_id(F.col("url"))
-    df.select(i.alias("id"), "url", raw_response(F.col("status"), F.col("headers"), F.col("html")).alias("content")).dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{folder}/responses")
+def store_responses(df: DataFrame, folder: str, order: Column | None = None) -> None:
+    """Wire text of each URL, the last by ``order`` of those given, and a line of the index for each row.
+
+    Responses are merged by id into what earlier calls stored. Ids are dealt by their
+    first two digits, and a call rewrites only the parts that it has ids of.
+    """
+    spark, i = df.sparkSession, response_id(F.col("url"))
+    rows = df.withColumn("__order", F.monotonically_increasing_id() if order is None else order)
+    wire = F.struct("url", raw_response(F.col("status"), F.col("headers"), F.col("html")).alias("content"))
+    new = rows.groupBy(i.alias("id")).agg(F.max_by(wire, "__order").alias("r")).select("id", "r.url", "r.content", F.substring("id", 1, 2).alias("part"))
+    new = stored(new)
+    at = f"{folder}/responses"
+    parts = [r[0] for r in new.select("part").distinct().collect()]  # at most 256
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        old = spark.read.schema(new.schema).parquet(at).where(F.col("part").isin(parts))
+        new = stored(new.unionByName(old.join(new.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti")))
+    new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(at)
     df.select(index_line(F.col("url"), F.col("status")).alias("value")).write.mode("append").text(f"{folder}/index")
 
 
