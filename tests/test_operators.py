@@ -192,7 +192,7 @@ def name(**parts):
 
 
 def test_certificates_and_streamed_results(spark, tmp_path):
-    alt = der(0x30, der(0x82, b"a.test"), der(0x87, bytes([10, 0, 0, 1])))
+    alt = der(0x30, der(0x82, b"a.test"), der(0x87, bytes([10, 0, 0, 1])), der(0x87, bytes([0x20, 1, 0x0D, 0xB8, *[0] * 11, 1])))
     extensions = der(0xA3, der(0x30, der(0x30, der(6, b"\x55\x1d\x11"), der(4, alt))))
     times = der(0x30, der(23, b"240131120000Z"), der(24, b"20510131120000Z"))
     inner = der(0x30, der(0xA0, der(2, b"\2")), der(2, b"\1"), der(0x30), name(CN="root", O="Org"), times, name(CN="a.test"), der(0x30), extensions)
@@ -201,7 +201,7 @@ def test_certificates_and_streamed_results(spark, tmp_path):
     pages = spark.createDataFrame([("https://A.test/x",), ("http://a.test/",), ("https://b.test/",)], "url string")
     out = {r.url: r.tls_data for r in sinks.with_certificates(pages, certs).collect()}
     t = out["https://A.test/x"]
-    assert (t.subject_cn, t.issuer_dn, t.issuer_org, t.subject_an) == ("a.test", "CN=root, O=Org", ["Org"], ["a.test", "10.0.0.1"])
+    assert (t.subject_cn, t.issuer_dn, t.issuer_org, t.subject_an) == ("a.test", "CN=root, O=Org", ["Org"], ["a.test", "10.0.0.1", "2001:0db8:0000:0000:0000:0000:0000:0001"])
     assert (t.not_before, t.not_after) == ("2024-01-31 12:00:00 UTC", "2051-01-31 12:00:00 UTC") and len(t.fingerprint_sha256) == 95
     assert out["http://a.test/"] is None and out["https://b.test/"] is None
     df, seen = sinks.counted(pages)
@@ -223,3 +223,15 @@ def test_sql_registration(spark):
 def test_dedup_key(spark, n):
     df = spark.createDataFrame([(m, "u", "b") for m in ("GET", "get", "", None, "POST")], "m string, u string, b string")
     assert [r[0] for r in df.select(urls.dedup_key(F.col("m"), F.col("u"), F.col("b"))).collect()] == ["u"] * 4 + ["u:b"]
+
+
+def test_java_patterns(spark):
+    field = readers.custom_fields("- name: x\n  group: 1\n  regex: ['(?P<a_b>a+)b', '(?P<']\n")[0]
+    assert spark.range(1).select(F.regexp_extract(F.lit("caab"), field.regex[0], 1).alias("v")).first().v == "aa" and len(field.regex) == 1
+
+
+def test_set_mode_scans_grow_with_the_depth(spark):
+    rows = [("https://h.test/" + "/".join(f"s{i}-{k % 12 if i in (3, 15) else 0}" for i in range(20)),) for k in range(60)]
+    out = trie.with_set_mode(spark.createDataFrame(rows, "url string"), "url", "fp")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan") <= 4
+    assert {r.fp for r in out.collect()} == {"https://h.test/" + "/".join("{param}" if i in (3, 15) else f"s{i}-0" for i in range(20))}

@@ -7,6 +7,7 @@ import re
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def java_pattern(pattern: str) -> str | None:
     jvm = SparkSession.active()._jvm
     try:
         jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return None
     return pattern
 

@@ -68,7 +68,7 @@ def _alt_names(raw: bytes) -> list[str]:
                 if tag == 0x82:
                     out.append(v.decode("ascii", "replace"))
                 elif tag == 0x87 and len(v) in (4, 16):
-                    out.append(str(ipaddress.ip_address(v)))
+                    out.append(str(ipaddress.ip_address(v)) if len(v) == 4 else ":".join(v[i : i + 2].hex() for i in range(0, 16, 2)))
     return out
 
 

@@ -265,3 +265,45 @@ CRAWL_EXPECTED = [
     (ROOT + "folder/next", 3, 200, "a"),
 ]
 CRAWL_FINDINGS = [(u, "rest" if "/api/" in u else None, 1 if "/api/" in u else 0) for u, _, status, _ in CRAWL_EXPECTED if status is not None]
+
+FUNNEL_PROBES = [
+    (1, "http://[fd00::1]/", "network_policy"), (2, "http://[fe80::2]/", "network_policy"), (3, "http://2130706433/", "network_policy"), (4, "http://0x7f.1/", "network_policy"),
+    (5, "http://exa mple.com/", "invalid"), (6, "http://a.example.com:99999/", "invalid"), (7, "not a url", "invalid"), (8, "http://a.example.com/x", None),
+    (8, "http://a.example.com/x", "duplicate"), (9, "http://a.example.com/x", "duplicate"), (10, "http://u:p@a.example.com/y", None), (11, "http://10.0.0.1/", "network_policy"),
+    (12, "http://[2001:db8::1]/", "out_of_scope"), (13, "http://EXAMPLE.com/z", None), (14, "http://other.test/", "out_of_scope"), (90, "http://other.test/seed", None),
+    (91, "http://localhost/seed", "network_policy"),
+]
+
+# Exact tries with a threshold of three: values seen before a position is promoted stay, all later ones are parameters.
+TRIE_ROWS = [("h", i, [v]) for i, v in enumerate("abcda", 1)] + [("h", 6, ["e", "x"]), ("k", 1, ["a"]), ("k", 2, ["b", "c"])]
+TRIE_EXPECTED = [("h", 1, "a"), ("h", 2, "b"), ("h", 3, "c"), ("h", 4, "{param}"), ("h", 5, "{param}"), ("h", 6, "{param}/x"), ("k", 1, "a"), ("k", 2, "b/c")]
+
+STATE_ROWS = [("a", 1, 0), ("a", 2, 1), ("a", 3, 7), ("a", 4, 15), ("a", 5, -1), ("a", 6, -2), ("b", 1, 1), ("b", 2, 1)]
+STATE_EXPECTED = [("a", 1, True), ("a", 2, False), ("a", 3, True), ("a", 4, False), ("a", 5, True), ("a", 6, False), ("b", 1, True), ("b", 2, False)]
+
+KINDS = [
+    ("https://a.test/x.js", "text/html", 200, True, False, ".text/html"), ("https://a.test/x.css", "", 429, True, True, ""), ("https://a.test/x", "Application/javascript", 503, True, True, ".application/javascript"),
+    ("https://a.test/x", " HTML", 404, False, False, ".html"), ("https://a.test/x.js?y", ".Js", 500, False, False, ".js"),
+]
+
+ARGUMENTS = [
+    ("patterns", "a,b{1,2},[c,d]", "a|b{1,2}|[c,d]"), ("patterns", r"a\,b, c", r"a\,b|c"), ("patterns", "", ""), ("seconds", "10s", "10"), ("seconds", "5m", "300"), ("seconds", "2h", "7200"),
+    ("seconds", "1d", "86400"), ("seconds", "7", "7"), ("header", "X-A: b:c", "X-A=b:c"), ("header", "none", "none"),
+]
+
+_PLACES = [
+    ("a", "href"), ("a", "ping"), ("link", "href"), ("script", "src"), ("iframe", "src"), ("embed", "src"), ("img", "src"), ("img", "dynsrc"), ("img", "longdesc"), ("img", "lowsrc"),
+    ("video", "src"), ("video", "poster"), ("track", "src"), ("audio", "src"), ("source", "src"), ("blockquote", "cite"), ("area", "ping"), ("button", "formaction"), ("object", "data"),
+    ("object", "codebase"), ("applet", "archive"), ("applet", "codebase"), ("div", "hx-get"), ("div", "hx-post"), ("div", "hx-put"), ("div", "hx-patch"),
+]
+PLACES_PAGE = (
+    '<html manifest="/html-manifest"><body background="/body-background"><table background="/table-background"><tr><td background="/td-background"></td></tr></table>'
+    + "".join(f'<{t} {a}="/{t}-{a}"></{t}>' for t, a in _PLACES)
+    + '<img srcset="/one 1x, /two 2x"><a href="javascript:x()">x</a><a href="#x">x</a><a href="mailto:x@y.z">x</a></body></html>'
+)
+_SELECTORS = {"link": "link[href]", "script": "script[src]"}
+PLACES_EXPECTED = [
+    *((f"https://h.example/{t}-{a}", f"[{a}]" if t == "div" else _SELECTORS.get(t, t), a, {"hx-post": "POST", "hx-put": "PUT", "hx-patch": "PATCH"}.get(a, "GET")) for t, a in _PLACES),
+    *((f"https://h.example/{t}-{a}", t, a, "GET") for t, a in (("html", "manifest"), ("body", "background"), ("table", "background"), ("td", "background"))),
+    *((f"https://h.example/{u}", "img", "srcset", "GET") for u in ("one", "two")),
+]
