@@ -1,7 +1,9 @@
-"""Near-duplicate pages by SimHash: banded pairs and greedy acceptance."""
+"""Near-duplicate pages by SimHash: keyed pairs and greedy acceptance."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,18 +37,22 @@ def classes(df: DataFrame, id_col: str = "id", sig: str = "simhash") -> DataFram
 def pairs(reps: DataFrame, k: int = 3) -> DataFrame:
     """(a, b, distance, n_pairs) of class representatives whose signatures differ in at most ``k`` bits.
 
-    Of k + 1 bands of a signature two such signatures share one. Only distinct
-    signatures are joined, so copies make no pairs of their own; ``n_pairs`` is
-    how many pairs of members a pair of classes stands for.
+    A signature is cut into 2k blocks. Two such signatures agree in k of them at
+    least, so they share one of the C(2k, k) keys of k blocks, each 32 bits: few
+    signatures meet by chance, however many there are. Only distinct signatures
+    are joined, so copies make no pairs of their own; ``n_pairs`` is how many pairs
+    of members a pair of classes stands for.
     """
     reps = stored(reps)  # read twice below; signatures are computed once
-    width = 64 // (k + 1)
-    edges = [i * width for i in range(k + 1)] + [64]
-    band = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("v")) for i in range(k + 1)]
-    rows = reps.select("simhash", "rep", "n", F.explode(F.array(*band)).alias("band"))
-    x = rows.select(F.col("simhash").alias("sx"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("band").alias("bx"))
-    y = rows.select(F.col("simhash").alias("sy"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("band").alias("by"))
-    met = x.join(y, (F.col("bx") == F.col("by")) & (F.col("x") < F.col("y")) & (S.hamming(F.col("sx"), F.col("sy")) <= k))
+    edges = [64 * i // max(1, 2 * k) for i in range(2 * k + 1)]
+    blocks = [sum(1 << b for b in range(x, y)) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    masks = [sum(some) for some in combinations(blocks, k)] if k else [(1 << 64) - 1]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    key = F.array(*[F.struct(F.lit(i).alias("i"), F.col("simhash").bitwiseAND(F.lit(m).cast("bigint")).alias("v")) for i, m in enumerate(signed)])
+    rows = reps.select("simhash", "rep", "n", F.explode(key).alias("key"))
+    x = rows.select(F.col("simhash").alias("sx"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("key").alias("kx"))
+    y = rows.select(F.col("simhash").alias("sy"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("key").alias("ky"))
+    met = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("x") < F.col("y")) & (S.hamming(F.col("sx"), F.col("sy")) <= k))
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"), S.hamming(F.col("sx"), F.col("sy")).alias("distance"), (F.col("nx") * F.col("ny")).alias("n_pairs")).distinct()
 
 
