@@ -243,6 +243,27 @@ def test_vectors_equal_brute_force(spark, monkeypatch, shard):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_large_cells_get_centroids_of_their_own(spark, monkeypatch):
+    """A dense cell stays whole; of others no class has more copies than the overlap, and no link is lost."""
+    monkeypatch.setattr(neardup, "SHARD", 120)
+    monkeypatch.setattr(neardup, "CELL", 60)
+    monkeypatch.setattr(neardup, "CELLS_MOST", 8)
+    monkeypatch.setattr(neardup, "ASSIGN", 100)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([*(group(rng, 4, 16, 0.05) for _ in range(200)), group(rng, 150, 16, 0.05)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    made = []
+    inner = neardup._refined
+    monkeypatch.setattr(neardup, "_refined", lambda *a: made.append((inner(*a), a[2])) or made[-1][0])
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    cells, overlap = made[0]
+    found = cells.collect()
+    assert len(found) == 950 and max(len(r.cells) for r in found) <= overlap and len({c for r in found for c in r.cells}) > 6
+    want = brute_vectors(rows)
+    assert sum(out[i] == want[i] for i in want) >= 0.95 * len(want) and all(out[i][0] <= want[i][0] for i in want)
+
+
 def test_vectors_that_share_an_id(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]), (None, [1.0, 0.0]), (5, [-1.0, 0.01])]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id bigint, embedding array<double>, key int, component_id string")

@@ -2,8 +2,11 @@
 
 1. Vectors are scaled to length 1 in double precision; equal ones form a class.
 2. Centroids are fitted to a bounded sample (``PER_CELL`` vectors a cell, at most ``SAMPLE``); every vector
-   goes to its ``OVERLAP`` nearest cells, so cells overlap. Cells above
-   ``SHARD`` vectors are split into parts by hash, and every two parts of a cell
+   goes to its ``OVERLAP`` nearest cells, so cells overlap. A cell above ``SHARD``
+   vectors gets up to ``FINE`` centroids of its own, fitted to ``FIT`` of its
+   vectors, and a vector goes to the nearest ones of all its cells; only a cell
+   where over a share ``DENSE`` of sampled pairs link is left as it is. Cells still above
+   ``SHARD`` are split into parts by hash, and every two parts of a cell
    make a shard, so that no task holds an unbounded cell.
 3. In each shard a graph is built: candidates are a vector's nearest ones and
    robust pruning keeps those that no kept one makes redundant (factor
@@ -55,6 +58,11 @@ SAMPLE = 65_536
 PER_CELL = 32
 CELL = 1024
 CELLS_MOST = 16_384
+#: Centroids within a large cell, vectors they are fitted to, and vectors assigned to them at once.
+FINE = 256
+FIT = 8192
+ASSIGN = 16_384
+DENSE = 1 / 64
 #: Numbers in a block of cosines between vectors and centroids.
 BLOCK = 1 << 22
 OVERLAP = 4
@@ -124,8 +132,8 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def _assigned(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """(cell, id, cells, count, v): each class in its nearest cells. Cells of a dimension have numbers of their own."""
+def _near(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """(id, cells): each class's nearest cells. Cells of a dimension have numbers of their own, multiples of FINE."""
     shared = reps.sparkSession.sparkContext.broadcast(centres)  # at most CELLS_MOST vectors for each dimension
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,24 +142,69 @@ def _assigned(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int) ->
             base[d] = at
             at += len(shared.value[d])
         for b in batches:
-            dims = b.column(2).to_numpy()
+            dims = b.column(1).to_numpy()
             for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
-                c, x = shared.value[d], _matrix(part.column(3))
+                c, x = shared.value[d], _matrix(part.column(2))
                 m = min(overlap, len(c))
-                near = np.sort(nearest(x, c, m), axis=1).astype(np.int32) + base[d]
-                row = np.repeat(np.arange(len(x)), m)
-                cells = pa.array([n.tobytes() for n in near], pa.binary())
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), part.column(0).take(take), cells.take(take), part.column(1).take(take), part.column(3).take(take)], names=["cell", "id", "cells", "n", "v"])
-
-    return reps.select("id", "n", "dim", "v").mapInArrow(tidy(work), "cell int, id bigint, cells binary, n bigint, v binary")
-
-
-def _sharded(assigned: DataFrame) -> DataFrame:
+                cells = (nearest(x, c, m).astype(np.int64) + base[d]) * FINE
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * m), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "cells"])
+
+    return reps.select("id", "dim", "v").mapInArrow(tidy(work), "id bigint, cells array<bigint>")
+
+
+def _refined(reps: DataFrame, near: DataFrame, overlap: int) -> DataFrame:
+    """(id, cells): large cells replaced by the nearest of their own finer ones, at most ``overlap`` cells for each class."""
+    placed = near.select("id", F.explode("cells").alias("c"))
+    sizes = stored(placed.groupBy("c").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SHARD))
+    if sizes.isEmpty():
+        return near
+    # at most CELLS_MOST rows for each dimension
+    copies = placed.join(F.broadcast(sizes), "c").join(reps.select("id", "v"), "id")
+
+    def fit(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        c, size = (k.as_py() for k in key)
+        x = _matrix(t.take(pa.array(np.argsort(t.column("id").to_numpy()))).column("v"))
+        some = x[:: max(1, len(x) // 1024)]
+        dense = len(some) > 1 and ((some @ some.T >= THRESHOLD).sum() - len(some)) / (len(some) * (len(some) - 1)) > DENSE
+        k = min(FINE, -(-size // CELL), len(x))
+        rows = [] if dense or k < 2 else [centroids(x, k).tobytes()]
+        return pa.table({"c": pa.array([c] * len(rows), pa.int64()), "size": pa.array([size] * len(rows), pa.int64()), "centres": pa.array(rows, pa.binary())})
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, x = left.column("id").to_numpy(), _matrix(left.column("v"))
+        if not len(x):
+            return pa.table({"id": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        c = np.frombuffer(right.column("centres")[0].as_py(), np.float64).reshape(-1, x.shape[1])
+        m = min(overlap, len(c))
+        at = nearest(x, c, m)
+        sims = np.stack([np.einsum("rd,rd->r", x, c[at[:, j]]) for j in range(m)], axis=1)
+        return pa.table({"id": np.repeat(ids, m), "cell": right.column("c")[0].as_py() + at.ravel().astype(np.int64), "sim": sims.ravel()})
+
+    sample = copies.where(F.pmod(F.xxhash64("id", F.lit(5)), F.col("size")) < FIT)  # about FIT of each cell
+    fine = stored(sample.groupBy("c", "size").applyInArrow(fit, "c bigint, size bigint, centres binary"))
+    split = F.broadcast(fine.select("c"))
+    blocks = F.ceil(F.col("size") / ASSIGN).cast("int")
+    left = copies.join(split, "c").select("c", F.pmod(F.xxhash64("id", F.lit(6)), blocks).cast("int").alias("s"), "id", "v")
+    right = fine.withColumn("s", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    picked = left.groupBy("c", "s").cogroup(right.groupBy("c", "s")).applyInArrow(pick, "id bigint, cell bigint, sim double")
+    whole = placed.join(split, "c", "left_anti").select("id", F.col("c").alias("cell"), F.lit(2.0).alias("sim"))
+    # at most overlap * overlap entries for each class
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "cell"))), 1, overlap)
+    return stored(whole.union(picked).groupBy("id").agg(best["cell"].alias("cells")))
+
+
+def _assigned(reps: DataFrame, near: DataFrame) -> DataFrame:
+    """(cell, id, cells, n, v): each class in its cells."""
+    return reps.select("id", "n", "v").join(near, "id").select(F.explode("cells").alias("cell"), "id", "cells", "n", "v")
+
+
+def _sharded(reps: DataFrame, near: DataFrame) -> DataFrame:
     """Adds the shard (cell, x, y): a cell of at most SHARD is one; else every two of its parts are one."""
-    sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).select(F.col("cell").alias("c"), F.ceil(F.col("size") / (SHARD / 2)).cast("int").alias("k"), (F.col("size") > SHARD).alias("big"))
-    df = assigned.join(F.broadcast(sizes), F.col("cell") == F.col("c"))  # at most CELLS_MOST rows for each dimension
+    sizes = near.select(F.explode("cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SHARD)
+    sizes = stored(sizes.select("c", F.ceil(F.col("size") / (SHARD / 2)).cast("int").alias("k")))
+    df = _assigned(reps, near).join(sizes, F.col("cell") == F.col("c"), "left").withColumn("big", F.col("c").isNotNull())
     part = F.when(F.col("big"), F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).otherwise(F.lit(0))
     df = df.withColumn("part", part)
     others = F.when(F.col("big"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.lit(0)))
@@ -342,13 +395,14 @@ def _found(shards: DataFrame, graph: DataFrame | None) -> DataFrame:
         order = np.argsort(t.column("id").to_numpy(), kind="stable")
         t = t.take(pa.array(order))
         ids, counts, part = (t.column(c).to_numpy() for c in ("id", "n", "part"))
-        x, cells = _matrix(t.column("v")), [np.frombuffer(c, np.int32) for c in t.column("cells").to_pylist()]
+        x, cells = _matrix(t.column("v")), t.column("cells").to_pylist()
         lists = []
         for near in [] if exact else t.column("near").to_pylist():
             g = np.array(near, np.int64)
             at = np.minimum(np.searchsorted(ids, g), len(ids) - 1)
             lists.append(at[ids[at] == g])
-        cells = np.stack(cells)
+        most = max(map(len, cells))
+        cells = np.array([c + c[:1] * (most - len(c)) for c in cells], np.int64)  # a cell given twice changes nothing
         links = np.zeros((len(ids), len(ids)), bool)
         for i, hits in compare(x) if exact else search(x, lists, counts):
             links[i, hits] = True
@@ -359,7 +413,7 @@ def _found(shards: DataFrame, graph: DataFrame | None) -> DataFrame:
             hits = np.flatnonzero(links[i])
             # A pair counts in the first cell that has both, and there in the shard of their two parts.
             both = (cells[hits][:, :, None] == cells[i][None, None, :]).any(axis=2)
-            first = np.where(both, cells[hits], np.iinfo(np.int32).max).min(axis=1)
+            first = np.where(both, cells[hits], np.iinfo(np.int64).max).min(axis=1)
             parts = np.minimum(part[hits], part[i]), np.maximum(part[hits], part[i])
             own = (first == cell) & (((parts[0] == px) & (parts[1] == py)) if px != py else ((parts[0] == px) & (parts[1] == px)))
             total[i] = counts[hits[own]].sum()
@@ -458,7 +512,7 @@ def near_duplicates(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
         x = _matrix(sample.column("v"))
         centres[d] = centroids(x, min(cells, len(x)))
     while True:
-        shards = stored(_sharded(_assigned(reps, centres, overlap)))
+        shards = stored(_sharded(reps, _refined(reps, stored(_near(reps, centres, overlap)), overlap)))
         found = stored(_found(shards, _graph(shards)))
         comps = components(found.where("b is not null").select("a", "b").union(same))
         if min(a.recall for a in audit(reps, found, comps)) >= RECALL:
@@ -466,7 +520,7 @@ def near_duplicates(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
         if overlap >= min(4 * OVERLAP, max(map(len, centres.values()), default=0)):
             # One cell a dimension: every two parts of all vectors are a shard, so that no pair is left out.
             log.warning("links are missing at overlap %d: comparing all pairs", overlap)
-            found = stored(_found(_sharded(_assigned(reps, {d: c[:1] for d, c in centres.items()}, 1)), None))
+            found = stored(_found(_sharded(reps, stored(_near(reps, {d: c[:1] for d, c in centres.items()}, 1))), None))
             comps = components(found.where("b is not null").select("a", "b").union(same))
             break
         overlap *= 2
