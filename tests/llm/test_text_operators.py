@@ -252,3 +252,58 @@ def test_media_reports_a_damaged_table_frame_and_what_it_cannot_check():
     frame = bytes([0xFF, 0xFC, 0x54, 0x00])  # layer II, protected
     s = media.parse((frame + bytes(media.header(frame, 0).length - 4)) * 3)
     assert (len(s.offsets), s.unchecked, s.good, s.bad) == (3, 3, 0, 0)
+
+
+def frame24(name, body, flags=b"\0\0"):
+    n = len(body)
+    return name + bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + flags + body
+
+
+def id3(major, body, flags=0):
+    n = len(body)
+    return b"ID3" + bytes((major, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + body
+
+
+@pytest.mark.parametrize(
+    "tag,want",
+    [
+        (id3(4, frame24(b"TIT2", b"\x03caf\xc3\xa9 \xf0\x9f\x98\x80") + frame24(b"TPE1", b"\x00a\0b\0") + bytes(20)), [("TIT2", "café 😀"), ("TPE1", "a / b")]),
+        (id3(4, frame24(b"TIT2", b"\x03" + b"x" * 300) + frame24(b"APIC", b"\x00png")), [("TIT2", "x" * 300), ("APIC", None)]),
+        (id3(4, frame24(b"TIT2", b"\0\0\0\x04\x00\xff\0y", b"\0\x03")), [("TIT2", "ÿy")]),
+        (id3(4, frame24(b"TIT2", b"\x00zip", b"\0\x08")), [("TIT2", None)]),
+        (id3(3, b"\0\0\0\x06" + bytes(6) + b"TALB\0\0\0\x07\0\0\x01\xff\xfea\0b\0" + b"WOAR\0\0\0\x05\0\0u://x", 64), [("TALB", "ab"), ("WOAR", "u://x")]),
+        (id3(2, b"TT2\0\0\x05\x00name" + b"COM\0\0\x02\x00x"), [("TT2", "name"), ("COM", None)]),
+        (id3(3, b"TIT2\0\0\x09\x09\0\0\x00cut"), []),
+        (id3(9, b"anything"), []),
+    ],
+)
+def test_media_reads_tags(tag, want):
+    body = media.pack(b" " * 384)[27:]
+    s = media.parse(tag + body)
+    assert (s.tags, s.id3, len(s.offsets), s.skipped) == (want, 1, 2, 0)
+    last = b"TAG" + b"Title".ljust(30, b"\0") + b"Artist".ljust(30) + bytes(30) + b"1999" + b"note".ljust(28, b"\0") + b"\0\x07" + b"\x11"
+    s = media.parse(body + last)
+    assert s.tags == [("title", "Title"), ("artist", "Artist"), ("year", "1999"), ("comment", "note"), ("track", "7"), ("genre", "17")] and len(s.offsets) == 2
+
+
+def test_media_reads_any_bytes():
+    rng = random.Random(4)
+    for _ in range(300):
+        media.parse(b"ID3" + bytes(rng.choice((0, 2, 3, 4, 64, 128, rng.randrange(256))) for _ in range(rng.randint(0, 60))))
+
+
+def test_media_details_of_any_column(spark):
+    whole = media.pack(media.padded(b"some text " * 100))
+    hurt = bytearray(whole)
+    hurt[-240 + 10] ^= 1
+    rows = [(1, whole), (1, whole), (2, None), (3, b""), (4, b"no audio"), (5, bytes(hurt))]
+    df = spark.createDataFrame([(i, x, "kept") for i, x in rows], "page bigint, media binary, media_details string")
+    out = media.with_details(df)
+    assert out.columns == [*df.columns, "media_details_"] and media.with_details(df.limit(0)).collect() == []
+    got = sorted(out.collect(), key=lambda r: r.page)
+    assert got[0] == got[1] and got[2].media_details_ is None and all(r.media_details == "kept" for r in got)
+    d = got[0].media_details_
+    assert (d.samples, d.rate, d.frames, d.good, d.bad, d.table_frames) == (1152 * 6, 48000, 6, 6, 0, 6) and d.offsets == [27 + 240 * (k + 1) for k in range(6)]
+    assert [(t.name, t.value) for t in d.tags] == [("TENC", "webloo")]
+    assert [(r.media_details_.frames, r.media_details_.rate) for r in got[3:5]] == [(0, None)] * 2
+    assert (got[5].media_details_.good, got[5].media_details_.bad) == (5, 1)

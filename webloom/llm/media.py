@@ -4,13 +4,16 @@
 24 ms each): header, CRC-16 over header and side information, side information,
 and 192 bytes of payload as the frame's main data. A leading ID3v2 tag and an
 Xing table (frames, bytes, 100 seek points) complete the file. ``parse``
-resynchronises on any stream: it skips ID3v2 and ID3v1 tags, takes a frame
+resynchronises on any stream: it reads ID3v2 and ID3v1 tags, takes a frame
 header only if another one or the end of the stream follows where it says,
 reads Xing and VBRI tables, verifies checksums and gives exact durations in
-samples and the byte offset of each frame.
+samples and the byte offset of each frame. ``with_details`` does this for a
+column of streams from anywhere.
 
-Null and empty texts give one padded frame. A text's stream depends on the text
-alone. Very long texts need memory in proportion to one text.
+Null and empty texts give one padded frame; a null stream has null details, one
+without frames none. A text's stream depends on the text alone. Repeated rows give
+repeated results, an empty table an empty one; columns with names used here do no
+harm. Very long texts need memory in proportion to one text.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import free, plus, tidy
 
@@ -120,6 +124,7 @@ class Stream:
     unchecked: int = 0  # protected frames of layers I and II, whose checksums cover parts that are not decoded here
     skipped: int = 0  # bytes passed over to find the next frame
     id3: int = 0
+    tags: list[tuple[str, str | None]] = field(default_factory=list)  # frames of ID3v2 and fields of ID3v1; None: no text
     table: str = ""  # xing, vbri or empty
     table_damaged: bool = False  # by the checksum of its frame
     table_frames: int = -1
@@ -139,10 +144,13 @@ def parse(data: bytes) -> Stream:
     """The frames of any byte stream. Bytes that are no frames are passed over and counted."""
     s, at = Stream(), 0
     while data[at : at + 3] == b"ID3" and at + 10 <= len(data):
-        size = sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[at + 6 : at + 10]))
+        begin, size = at, _seven(data[at + 6 : at + 10])
         at += 10 + size + (10 if data[at + 5] & 16 else 0)
+        s.tags += _id3v2(data[begin : begin + 10 + size])
         s.id3 += 1
-    end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
+    end = len(data) - 128 if len(data) >= at + 128 and data[-128:-125] == b"TAG" else len(data)
+    if end < len(data):
+        s.tags += _id3v1(data[end:])
     offsets, lengths = [], []
     while at < end:
         h = header(data, at)
@@ -169,6 +177,63 @@ def parse(data: bytes) -> Stream:
     return s
 
 
+def _seven(raw: bytes) -> int:
+    """A number of seven bits a byte."""
+    value = 0
+    for b in raw:
+        value = value << 7 | b & 127
+    return value
+
+
+def _text(raw: bytes) -> str:
+    """A text frame: its encoding and values, which NULs part."""
+    kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[0], "latin-1") if raw else "latin-1"
+    return raw[1:].decode(kind, "replace").rstrip("\0").replace("\0", " / ")
+
+
+def _id3v2(tag: bytes) -> list[tuple[str, str | None]]:
+    """The frames of a tag of version 2.2 to 2.4 in their order. A tag of another version, or cut in a frame, ends there."""
+    major, flags, body = tag[3], tag[5], tag[10:]
+    if major not in (2, 3, 4) or (major == 2 and flags & 64):
+        return []
+    if flags & 128 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 64:  # an extended header, which counts itself from version 2.4 on
+        at = _seven(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    wide, out = (3 if major == 2 else 4), []
+    head = 6 if major == 2 else 10
+    while at + head <= len(body) and body[at]:
+        name, count = body[at : at + wide].decode("latin-1"), body[at + wide : at + 2 * wide]
+        size = _seven(count) if major == 4 else int.from_bytes(count, "big")
+        form = body[at + 9] if major > 2 else 0
+        raw = body[at + head : at + head + size]
+        if len(raw) < size:
+            break
+        at += head + size
+        packed = form & (12 if major == 4 else 192 if major == 3 else 0)  # compressed or encrypted
+        lead = (form >> 6 & 1) + 4 * (form & 1) if major == 4 else form >> 5 & 1  # group, length
+        raw = raw[lead:]
+        if major == 4 and (form & 2 or flags & 128):
+            raw = raw.replace(b"\xff\0", b"\xff")
+        if packed or name[0] not in "TW":
+            out.append((name, None))
+        elif name[0] == "T" or name.startswith("WX"):
+            out.append((name, _text(raw)))
+        else:
+            out.append((name, raw.split(b"\0")[0].decode("latin-1")))
+    return out
+
+
+def _id3v1(tag: bytes) -> list[tuple[str, str | None]]:
+    """The fields of the 128 bytes at a stream's end that are not empty."""
+    places = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97), "comment": (97, 127)}
+    out = [(name, tag[a:b].split(b"\0")[0].decode("latin-1").rstrip()) for name, (a, b) in places.items()]
+    if tag[125] == 0 and tag[126]:
+        out.append(("track", str(tag[126])))
+    return [(name, v) for name, v in out if v] + ([("genre", str(tag[127]))] if tag[127] != 255 else [])
+
+
 def _table(data: bytes, at: int, h: Header, s: Stream) -> bool:
     x = at + 4 + 2 * h.protected + h.side
     if data[x : x + 4] in (b"Xing", b"Info") and x + 8 <= at + h.length:
@@ -249,6 +314,30 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
     return docs.mapInArrow(tidy(work), plus(docs.schema, **{names[0]: T.BinaryType(), names[1]: T.ArrayType(T.LongType())}))
 
 
+_DETAILS = "struct<samples bigint, rate int, frames bigint, good bigint, bad bigint, unchecked bigint, skipped bigint, table string, table_frames bigint, table_damaged boolean, offsets array<bigint>, tags array<struct<name string, value string>>>"
+
+
+def with_details(df: DataFrame, media: str = "media", details: str = "media_details") -> DataFrame:
+    """``df`` with what a binary column of MPEG streams holds: duration (samples at a rate), frames and their offsets, checksums, table and tags."""
+
+    def of(data: bytes | None) -> dict | None:
+        if data is None:
+            return None
+        s = parse(data)
+        counts = {k: getattr(s, k) for k in ("samples", "good", "bad", "unchecked", "skipped", "table", "table_frames", "table_damaged")}
+        return counts | {"rate": s.head and s.head.rate, "frames": len(s.offsets), "offsets": s.offsets.tolist(), "tags": [{"name": n, "value": v} for n, v in s.tags]}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([of(x) for x in b.column(b.schema.get_field_index(media)).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, name])
+
+    name = free(df, details)
+    schema = plus(df.schema, **{name: T._parse_datatype_string(_DETAILS)})
+    kind = to_arrow_type(schema[name].dataType)
+    return df.mapInArrow(tidy(work), schema)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """For each document what was stored, what was read back, and the features of the stored stream."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
