@@ -509,13 +509,116 @@ def test_quality_equals_plain_densities(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(3, 1), (5, None)], "doc_id bigint, quality int")
     got = {r.doc_id: r.score for r in quality.digest(df, labels).collect()}
     x = {r.doc_id: np.array(r.x) for r in quality.with_statistics(df, "x").collect()}
-    seen = [i for i in x if zlib.crc32(str(i).encode()) % 5]
-    part = [np.array([x[i] for i in seen if i % 2 == k]) for k in (0, 1)]
+    want = plain_quality([(i, v) for i, v in x.items()], {i: i % 2 for i in x})
+    assert all(abs(got[i] - want[i]) < 1e-4 for i in x)
+
+
+def plain_quality(stats, label):
+    """Scores by a plain quadratic discriminant; ``stats``: (id, statistics) of each row."""
+    seen = [(i, v) for i, v in stats if i in label and zlib.crc32(str(i).encode()) % 5]
+    part = [np.array([v for i, v in seen if label[i] == k]) for k in (0, 1)]
     cov = [np.cov(p.T, bias=True) for p in part]
     pooled = sum(len(p) * c for p, c in zip(part, cov)) / len(seen)
     scale = np.diag(np.maximum(np.diag(pooled), 1e-6))
     shrunk = [0.88 * c + 0.1 * pooled + 0.02 * scale for c in cov]
-    for i, v in x.items():
+    out = {}
+    for i, v in stats:
         d = [(v - p.mean(0)) @ np.linalg.solve(c, v - p.mean(0)) + np.linalg.slogdet(c)[1] for p, c in zip(part, shrunk)]
-        want = 1 / (1 + np.exp(-np.clip((d[0] - d[1]) / 2 + np.log(len(part[1]) / len(part[0])), -500, 500)))
-        assert abs(got[i] - want) < 1e-4
+        out[i] = 1 / (1 + np.exp(-np.clip((d[0] - d[1]) / 2 + np.log(len(part[1]) / len(part[0])), -500, 500)))
+    return out
+
+
+def plain_mix(rows):
+    """How often each (id, source, text) is taken whole: keys, whole epochs, then documents in order of the key."""
+    by_source = {}
+    for i, source, text in rows:
+        by_source.setdefault(source, []).append((i, text, len(WORD.findall(text or ""))))
+    goal, out = targets({s: sum(n for _, _, n in d) for s, d in by_source.items()}), {}
+    for s, d in by_source.items():
+        total = sum(n for _, _, n in d)
+        epochs = int(goal[s] // total) if total else 0
+        rest = int(goal[s] + 0.5) - epochs * total
+        keyed = []
+        for i, text, n in d:
+            weight = max(0.25, 1 / (1 + abs(len(text or "") / max(n, 1) - 6) / 4))
+            u = (int(hashlib.md5(f"{'null' if i is None else i}:mix-1".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            keyed.append((-np.log(u) / weight, i, n))
+        for _, i, n in sorted(keyed, key=lambda k: k[0]):
+            out[i] = (epochs + (2 * max(0, min(n, rest)) >= n)) if n else 0
+            rest -= n
+    return out
+
+
+def test_pipeline_stages_equal_plain_ones(spark, tmp_path):
+    """Every stage on its own input, with repeated rows, nulls and columns that clash; then an empty table."""
+    import tiktoken
+
+    from webloom.llm import bpe
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    texts = [t for _, t in near_copies(13, groups=3, copies=20)]
+    texts += [" ".join("".join(rng.choice("QWERTY") for _ in range(rng.randint(2, 8))) + "!!" for _ in range(rng.randint(5, 60))) for _ in range(50)]
+    texts[5] = "ask someone@example.org or 10.1.2.3 " + " ".join(f"name{i}" for i in range(40))
+    label = {i: int("!!" not in (t or "")) for i, t in enumerate(texts)}
+    rows = [(i, t, "en", [None, "a", "b", "c"][i % 4], None if t is None else len(t), 0.0, "x", "y") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], rows[8], (None, "without an id but with words of its own", "en", "a", 7, 0.0, "x", "y")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, size string, token_ids string"
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*label.items(), (2, None)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def after(k, docs):
+        out = pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+        assert out.columns == [*df.columns, *["token_ids_"] * (k == 4)]
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        out = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        return out, sorted(((r.doc_id, r.text, r.source, r.n_chars, *r[8:]) for r in out.collect()), key=str)
+
+    base = sorted(((r[0], r[1], r[3], r[4]) for r in rows), key=str)
+    docs, got = after(0, spark.read.parquet(str(tmp_path / "documents.parquet")))
+    score = plain_quality([(r.doc_id, np.array(r.x)) for r in quality.with_statistics(df, "x").collect()], label)
+    assert got == [r for r in base if score[r[0]] >= 0.3] and 0 < len(got) < len(base) - 30
+
+    comp = brute_jaccard(sorted({(r[0], r[1]) for r in got if r[0] is not None}))
+    want = [r for k, r in enumerate(got) if r[0] is None or (comp[r[0]][1] == r[0] and (r not in got[:k] or not comp[r[0]][0]))]
+    docs, got = after(1, docs)
+    assert got == want and len(got) < 130
+
+    def clean(r):
+        t = r[1] and r[1].replace("someone@example.org", "[EMAIL]").replace("10.1.2.3", "[IP]")
+        return (r[0], t, r[2], len(t) if t is not None and len(r[1]) == r[3] else r[3])
+
+    want = sorted(map(clean, got), key=str)
+    docs, got = after(2, docs)
+    assert got == want and any("[EMAIL] or [IP]" in (r[1] or "") for r in got)
+
+    times = plain_mix([(r[0], r[2], r[1]) for r in got])
+    want = [r for r in got for _ in range(times[r[0]])]
+    docs, got = after(3, docs)
+    assert got == want and {0, 1} <= set(times.values())
+
+    path, pattern = bpe.vocabulary()
+    with open(path, "rb") as f:
+        ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    _, last = after(4, docs)
+    assert [r[:4] for r in last] == got and all(r[4] == library.encode_ordinary(r[1]) for r in last)
+
+    assert sorted(((r.doc_id, r.text, r.source, r.n_chars, r.token_ids_) for r in pipeline.run(spark, str(tmp_path)).collect()), key=str) == last
+    none = tmp_path / "none"
+    df.limit(0).write.parquet(str(none / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).limit(0).write.parquet(str(none / "labels.parquet"))
+    assert pipeline.run(spark, str(none)).collect() == []
+
+
+def test_mixing_equals_a_plain_sample_with_equal_keys(docs):
+    rows = [(i, "word " * (i % 30)) for i in range(500)]
+    want = plain_mix([(r.doc_id, r.source, r.text) for r in docs(rows).collect()])
+    got = {}
+    for r in mixing.mixed(docs(rows)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {i: n for i, n in want.items() if n}
+    same = docs([(7, "a b c"), (7, "d e"), (7, "a b c"), (None, "f g"), (None, "h")])
+    runs = [sorted(map(str, mixing.mix(d).collect())) for d in (same, same.orderBy("text"), same.repartition(4))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 5
