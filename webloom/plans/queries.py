@@ -537,6 +537,12 @@ def fnv1a_tokens(spark, sf_dir):
     return w.select("token", simhash.hex16(simhash.fnv1a(F.col("token"))).alias("fnv"))
 
 
+@query(f"SELECT w AS token, {FNV} AS fnv FROM (SELECT DISTINCT unnest(regexp_split_to_array(html, '\\s+')) AS w FROM pages)")
+def fnv1a_page_words(spark, sf_dir):
+    w = _t(spark, sf_dir, "pages").select(F.explode(F.split("html", r"\s+")).alias("token")).distinct()
+    return w.select("token", simhash.hex16(simhash.fnv1a(F.col("token"))).alias("fnv"))
+
+
 _PAGE_SIG = f"""t AS (SELECT page_id AS id, unnest(string_split({strip_sql("html")}, ' ')) AS w FROM pages), d AS (SELECT DISTINCT w FROM t WHERE w <> ''),
  h AS (SELECT w, ('0x' || {FNV})::UBIGINT AS h FROM d),
  v AS (SELECT id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM t JOIN h USING (w), (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY id, b),
