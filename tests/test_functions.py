@@ -50,6 +50,13 @@ def test_simhash_of_words():
     assert simhash.fnv1a_py(b"") == 0xCBF29CE484222325 and simhash.fnv1a_py(b"a") == 0xAF63DC4C8601EC8C
 
 
+@pytest.mark.parametrize("text,want", [("a\x1cb c", ["a\x1cb", "c"]), (" a\u2003b\x85\x1f", ["a", "b", "\x1f"]), ("a\x0bb\u3000 c", ["a", "b", "c"]), ("", []), (" \n", [])])
+def test_words_end_at_unicode_white_space_only(spark, text, want):
+    assert simhash.split_words(text) == want
+    got = spark.createDataFrame([(text,)], "t string").select(simhash.simhash("t")).first()[0]
+    assert got == simhash.simhash_py([w.encode() for w in want])
+
+
 @pytest.mark.parametrize(
     "script,want",
     [

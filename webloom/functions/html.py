@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .predicates import HREF_REJECTED
+from .simhash import split_words
 from .whatwg import Url, parse
 from .udf import arrow_function
 
@@ -65,7 +66,7 @@ class Page(HTMLParser):
             if name in a:
                 self.found.append((i, a[name]))
             if "srcset" in a:
-                self.sets += [(i, part.split()[0]) for part in a["srcset"].split(",") if part.split()]
+                self.sets += [(i, words[0]) for part in a["srcset"].split(",") if (words := split_words(part))]
         if tag == "script":
             self.text = []
         elif tag == "form" and self.form is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -70,9 +72,18 @@ def simhash_py(words: list[bytes], memo: dict[bytes, int] | None = None) -> int:
 
 
 _memo: dict[bytes, int] = {}
+# Python also splits at the four separators U+001C to U+001F, which are no white space in Unicode.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split_words(text: str) -> list[str]:
+    """What stands between Unicode white space."""
+    return _WORD.findall(text) if _SEPARATORS.search(text) else text.split()
+
 
 
 @arrow_function("bigint")
 def simhash(text: pa.Array) -> pa.Array:
     """SimHash of the words between white space."""
-    return pa.array([None if t is None else simhash_py([w.encode() for w in t.split()], _memo) for t in text.to_pylist()], pa.int64())
+    return pa.array([None if t is None else simhash_py([w.encode() for w in split_words(t)], _memo) for t in text.to_pylist()], pa.int64())

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.simhash import split_words
 from ..functions.udf import arrow_function
 from ..schemas import CHECKPOINT
 
@@ -33,7 +34,7 @@ def parse_raw_request(raw: str | None, https: bool = False) -> dict:
     out = {"method": None, "url": None, "headers": None, "body": None, "root_hostname": None, "tag": "raw-request", "depth": 0, "error": None}
     head, _, body = (raw or "").replace("\r\n", "\n").partition("\n\n")
     first, *rest = head.split("\n")
-    words = first.split()
+    words = split_words(first)
     if len(words) < 2:
         return out | {"error": "bad request line"}
     headers = {k.strip(): v.strip() for k, mark, v in (line.partition(":") for line in rest) if mark}
