@@ -39,6 +39,8 @@ VENDOR_PACKAGES = (
 VENDOR = r"(?i)(" + "|".join(re.escape(p) for p in VENDOR_PACKAGES) + r")[a-z0-9._-]*\.js"
 
 IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}\z"
+#: Deny items that are a host's name or address and no pattern.
+HOST_NAME = re.compile(r"[\w-]+(\.[\w-]+)*\.?|\[?[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]?")
 CYCLE = r"(?s)(.{10,})\1{9}"
 CYCLE_BYTES = 2_097_152
 HREF_REJECTED = ("#", "data:", "javascript:", "mailto:", "vbscript:")
@@ -128,8 +130,13 @@ def is_private_ipv6(host: pa.Array) -> pa.Array:
     return pa.array([h is not None and private_v6(h) for h in host.to_pylist()], pa.bool_())
 
 
-def policy_allows(host: Column, policy: Policy, with_v6: bool = False) -> Column:
-    """Host names and addresses that a network policy lets through. ``with_v6`` adds IPv6 ranges by an Arrow UDF."""
+def policy_allows(host: Column, policy: Policy, with_v6: bool = False, whole_names: bool = False) -> Column:
+    """Host names and addresses that a network policy lets through. ``with_v6`` adds IPv6 ranges by an Arrow UDF.
+
+    An item of the deny list is a host and an unanchored pattern at once, so ``m.a.org`` also
+    denies ``farm.a.org`` and ``www.m.a.org``; with ``whole_names`` host names and addresses
+    among the items deny that host only.
+    """
     deny = [d.strip() for d in policy.deny if d.strip()]
     private = policy.exclude_private or any(d.lower() == "private-ips" for d in deny)
     deny = [d for d in deny if d.lower() != "private-ips"]
@@ -140,9 +147,9 @@ def policy_allows(host: Column, policy: Policy, with_v6: bool = False) -> Column
         if with_v6:
             bad = bad | is_private_ipv6(F.when(h.contains(":"), h))
     if deny:
-        bad = bad | h.isin(*[d.lower() for d in deny])
+        bad = bad | h.isin(*[d.lower().strip("[]") if whole_names and HOST_NAME.fullmatch(d) else d.lower() for d in deny])
     for d in deny:
-        d = java_pattern(d)
+        d = None if whole_names and HOST_NAME.fullmatch(d) else java_pattern(d)
         if d is not None:
             bad = bad | h.rlike(d)
     return ~bad
