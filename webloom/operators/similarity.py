@@ -14,15 +14,26 @@ from ..functions.text import strip_dom
 from ..storage import stored
 
 
+def _counted(words: Column) -> Column:
+    """Array of (w, c): how often each word stands in an array, within the row: no key crosses the network, and a task holds one row's words at a time."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(starts), lambda p: F.transform(p, lambda i, j: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(p, j + 1), F.size(s)) - i).alias("c"))))[0]
+
+    # arrays of one element bind what lambdas use, so that it is computed once
+    return F.transform(F.array(F.sort_array(F.filter(words, lambda w: w.isNotNull()))), runs)[0]
+
+
 def native_simhash(df: DataFrame, id_col: str, words: str) -> DataFrame:
     """(id, simhash) by votes per bit, in built-in functions; ``words`` is an array column. No words give 0."""
-    hashed = df.select(id_col, F.explode(words).alias("w")).groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("c")).select(id_col, "c", S.fnv1a(F.col("w")).alias("h"))
-    # 64 sums at once: one row for each word, none for each bit
+    # one row for each word of a row, none for each bit; the votes are folded by id before the shuffle
+    hashed = df.select(id_col, F.explode_outer(_counted(F.col(words))).alias("x")).select(id_col, "x.c", S.fnv1a(F.col("x.w")).alias("h"))
     votes = hashed.groupBy(id_col).agg(*[F.sum(F.col("c") * (2 * F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) - 1)).alias(f"b{b}") for b in range(64)])
     bits = F.lit(0).cast("bigint")
     for b in range(64):
         bits = bits.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return df.select(id_col).distinct().join(votes.select(id_col, bits.alias("simhash")), id_col, "left").select(id_col, F.coalesce("simhash", F.lit(0).cast("bigint")).alias("simhash"))
+    return votes.select(id_col, bits.alias("simhash"))
 
 
 def page_state(df: DataFrame, html: str = "html") -> DataFrame:
